@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quotation, secret_scan, url_filter
+from . import line_dedup, quotation, secret_scan, url_filter, weighted_sampling
 from .common import table
 
 #: Fixed rules of op7.
@@ -38,4 +38,8 @@ def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.link(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "clean_text", "n_quotes", "n_linked", "parent_turn", "thread_root", "depth")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_secret_scan, op7_url_filter, op8_quotation_linking)}
+def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_secret_scan, op7_url_filter, op8_quotation_linking, op10_weighted_sampling)}

@@ -46,7 +46,7 @@ def canonical(url: Column, host: Column, path: Column) -> Column:
 
 def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    return block, [F.shiftleft(F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(i), key), F.lit(64)).cast("int")) for i in range(WORDS)]
+    return block, [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(i), key), F.lit(64)).cast("int")) for i in range(WORDS)]
 
 
 def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
@@ -111,7 +111,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     # A key of its own makes Spark shuffle both sides for the join, and only such joins can split a hot key.
     rule = rule.select(F.xxhash64("host", "path").alias("_place"), F.col("host").alias("_host"), F.col("path").alias("_path"), "rule", "rule_verdict")
     hit = hit.select(F.xxhash64("canonical_url").alias("_entry"), F.col("canonical_url").alias("_canonical"), F.lit(True).alias("listed"))
-    out = pages.withColumn("_place", F.xxhash64("host", "path")).join(rule, [F.col("_place") == rule["_place"], F.col("host") == F.col("_host"), F.col("path") == F.col("_path")], "left").drop("_place", "_host", "_path")
+    out = pages.join(rule, [F.xxhash64("host", "path") == F.col("_place"), F.col("host") == F.col("_host"), F.col("path") == F.col("_path")], "left").drop("_place", "_host", "_path")
     out = out.join(hit, [F.xxhash64("canonical_url") == F.col("_entry"), F.col("canonical_url") == F.col("_canonical")], "left").drop("_entry", "_canonical")
     by_list = F.when(F.coalesce("listed", F.lit(False)), "block").otherwise("allow")
     return out.withColumns({"listed": F.coalesce("listed", F.lit(False)), "verdict": F.coalesce("rule_verdict", by_list)}).drop("rule_verdict")

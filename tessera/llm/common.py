@@ -37,11 +37,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def columnar(batch: pa.RecordBatch, name: str) -> pa.Array:
-    column = batch.column(batch.schema.get_field_index(name))
-    return column.cast(pa.large_string()) if column.type == pa.string() else column
-
-
 def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of `batch` with at most `limit` bytes of text, or one row."""
     if not batch.num_rows:
@@ -55,9 +50,10 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterat
         at = to
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """A-Z lower-cased words `[^\\x20\\x09-\\x0D]+` of each text: how many, and all of them in order. A null text has none."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
+    """Words `[^\\x20\\x09-\\x0D]+` of each text, A-Z in lower case if `lower`: how many, and all of them in order. A null text has none."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, offsets = split.flatten(), split.offsets.to_numpy().astype(np.int64)
     full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     before = np.concatenate(([0], np.cumsum(full)))

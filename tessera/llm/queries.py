@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quotation, secret_scan, url_filter, weighted_sampling
+from . import lang_id, line_dedup, packing, quotation, secret_scan, url_filter, weighted_sampling
 from .common import table
 
+#: The vocabulary that op5 packs by.
+TOKENIZER = "word_bpe_49k.json"
 #: Fixed rules of op7.
 URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Host labels whose pages make the list of op7.
@@ -18,6 +21,17 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_removed")
 
 
+def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = F.coalesce(lang_id.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = lang_id.fit(docs.where(lang_id.remainder(F.col("doc_id"), 5) != 0))
+    return lang_id.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     base = F.filter("secrets", lambda s: s.kind.isin([k[0] for k in secret_scan.BASE]))
@@ -42,4 +56,4 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_secret_scan, op7_url_filter, op8_quotation_linking, op10_weighted_sampling)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_lang_id, op5_packing, op6_secret_scan, op7_url_filter, op8_quotation_linking, op10_weighted_sampling)}

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import coded, hashes, mixed, slices, words
 
@@ -92,7 +93,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
                 made = pa.array(as_text(signatures([x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()])), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(run, docs.schema.add("fingerprint", "string"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
 def edited(text: str, after: str) -> str:

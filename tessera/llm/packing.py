@@ -165,7 +165,7 @@ def fill(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
         parts = deal(sizes, windows)
         if max(sum(sizes[i] for i in p) for p in parts) <= window:
             return parts
-        windows = min(len(sizes), windows + max(1, windows // 128))
+        windows = min(len(sizes), windows + max(1, windows // 256))
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, group: int = GROUP) -> DataFrame:

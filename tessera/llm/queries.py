@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, line_dedup, packing, quotation, secret_scan, url_filter, weighted_sampling
+from . import decontaminate, lang_id, line_dedup, ngram_join, packing, quotation, secret_scan, url_filter, weighted_sampling
 from .common import table
 
 #: The vocabulary that op5 packs by.
@@ -28,6 +28,11 @@ def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -52,8 +57,12 @@ def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.link(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "clean_text", "n_quotes", "n_linked", "parent_turn", "thread_root", "depth")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_lang_id, op5_packing, op6_secret_scan, op7_url_filter, op8_quotation_linking, op10_weighted_sampling)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_lang_id, op4_decontaminate, op5_packing, op6_secret_scan, op7_url_filter, op8_quotation_linking, op9_ngram_join, op10_weighted_sampling)}

@@ -89,4 +89,21 @@ select c.conv_id, c.turn, c.role, c.clean_text, coalesce((select count(*) from s
 from c left join p using (r) left join z on z.conv_id = c.conv_id and z.turn = c.turn and p.r is not null
 """
 
-SQL = {"op2_line_dedup": OP2, "op6_secret_scan": _op6(), "op7_url_filter": _op7(), "op8_quotation_linking": OP8}
+OP9 = """
+with recursive w as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+x as (select r, doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) end as s from w),
+c as (select min(r) as c, s from (select r, list_sort(s) as s from x where len(s) > 0) group by s),
+m as (select x.r, x.doc_id, len(x.s)::bigint as n, c.c from x left join c on list_sort(x.s) = c.s),
+u as (select c, len(s) as n, unnest(s) as t from c),
+p as (select a.c as a, b.c as b from u a join u b on a.t = b.t and a.c < b.c and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  group by a.c, b.c, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e as (select a, b from p union all select b, a from p),
+g(a, b) as (select c, c from c union select g.a, e.b from g join e on g.b = e.a),
+k as (select m.c, min(doc_id) as own from m where c is not null group by m.c),
+z as (select g.a as c, min(k.own) as component_id from g join k on k.c = g.b group by g.a),
+l as (select a as c, count(*) as links from e group by a)
+select m.doc_id, m.n as n_shingles, coalesce(l.links, 0) as links, coalesce(z.component_id, m.doc_id) as component_id from m left join z using (c) left join l using (c)
+"""
+
+SQL = {"op2_line_dedup": OP2, "op6_secret_scan": _op6(), "op7_url_filter": _op7(), "op8_quotation_linking": OP8, "op9_ngram_join": OP9}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, line_dedup, ngram_join, packing, quotation, secret_scan, url_filter, weighted_sampling
+from . import decontaminate, lang_id, line_dedup, lm_score, ngram_join, packing, quotation, secret_scan, url_filter, weighted_sampling
 from .common import table
 
 #: The vocabulary that op5 packs by.
@@ -17,6 +17,12 @@ URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lm_score.remainder(F.col("doc_id"), 7) == 2
+    scored = lm_score.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "train_types", "base_score", "score")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_removed")
 
@@ -65,4 +71,4 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_lang_id, op4_decontaminate, op5_packing, op6_secret_scan, op7_url_filter, op8_quotation_linking, op9_ngram_join, op10_weighted_sampling)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_line_dedup, op3_lang_id, op4_decontaminate, op5_packing, op6_secret_scan, op7_url_filter, op8_quotation_linking, op9_ngram_join, op10_weighted_sampling)}

@@ -42,7 +42,7 @@ def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code, doc = np.where(letter, codes, 1).astype(np.uint64)[kept], doc[kept]
     out = np.zeros(len(texts) * DIMS, np.int32)
     gram = np.zeros(len(code), np.uint64)
-    for n in range(1, GRAMS + 1):
+    for n in range(1, min(GRAMS, len(code)) + 1):
         gram = gram * np.uint64(0x110000) + np.roll(code, 1 - n)
         valid = np.ones(len(code), bool) if n == 1 else np.r_[doc[n - 1 :] == doc[: 1 - n], np.zeros(n - 1, bool)]
         valid &= code != 1 if n == 1 else valid

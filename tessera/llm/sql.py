@@ -101,9 +101,8 @@ p as (select a.c as a, b.c as b from u a join u b on a.t = b.t and a.c < b.c and
 e as (select a, b from p union all select b, a from p),
 g(a, b) as (select c, c from c union select g.a, e.b from g join e on g.b = e.a),
 k as (select m.c, min(doc_id) as own from m where c is not null group by m.c),
-z as (select g.a as c, min(k.own) as component_id from g join k on k.c = g.b group by g.a),
-l as (select a as c, count(*) as links from e group by a)
-select m.doc_id, m.n as n_shingles, coalesce(l.links, 0) as links, coalesce(z.component_id, m.doc_id) as component_id from m left join z using (c) left join l using (c)
+z as (select g.a as c, min(k.own) as component_id from g join k on k.c = g.b group by g.a)
+select m.doc_id, m.n as n_shingles, coalesce(z.component_id, m.doc_id) as component_id from m left join z using (c)
 """
 
 SQL = {"op2_line_dedup": OP2, "op6_secret_scan": _op6(), "op7_url_filter": _op7(), "op8_quotation_linking": OP8, "op9_ngram_join": OP9}

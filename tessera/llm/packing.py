@@ -24,8 +24,8 @@ from .common import coded, mixed, slices, words
 WINDOW, END_ID = 4096, 2
 #: Documents dealt together. A group's windows are within a few tokens of each other, so padding is about one window a group.
 GROUP = 4000
-#: Pieces of words kept between batches by a worker.
-KEPT = 400_000
+#: Words, and pieces of words, that a worker keeps between slices; and text bytes of a slice.
+KEPT, STEP_BYTES = 500_000, 12 << 20
 #: Characters that the tokenizer is given at a time.
 CHARS = 1 << 14
 
@@ -53,11 +53,18 @@ class Encoder:
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _pieces(self, word: str) -> tuple[str, ...] | list[str] | None:
+        """What the file's pattern finds in the word; None if it has none, or a special token."""
+        # Letter by letter in lower case, so no final sigma.
+        word = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        if word.isalpha():
+            return (word,)
+        return None if "<|" in word and any(x in word for x in self.special) else self.pattern.findall(word)
 
     def _learn(self, missing: list[str]) -> None:
         """`missing`: pieces, each one word of the tokenizer."""
-        if len(self.pieces) > KEPT:
-            self.pieces.clear()
         at = 0
         while at < len(missing):
             to, size = at, 0
@@ -81,26 +88,22 @@ class Encoder:
         """Ids of all texts, one after another, and how many each has."""
         counts, flat = words(texts, lower=False)
         codes, distinct = coded(flat)
-        spelled, odd = [], {}
-        for i, word in enumerate(distinct.to_pylist()):
-            if not word.isascii():
-                word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()  # letter by letter, so no final sigma
-            else:
-                word = word.lower()
-            if "<|" in word and any(x in word for x in self.special):
-                odd[i] = word
-                spelled.append(())
-            else:
-                spelled.append(self.pattern.findall(word))
-        need = dict.fromkeys(p for x in spelled for p in x if p not in self.pieces)
-        if need:
-            self._learn(list(need))
-            if any(p not in self.pieces for x in spelled for p in x):
-                self._learn(list(dict.fromkeys(p for x in spelled for p in x if p not in self.pieces)))
+        for kept in (self.words, self.pieces):
+            if len(kept) > KEPT:
+                kept.clear()
+        named = distinct.to_pylist()
+        missing = [w for w in named if w not in self.words]
+        spelled = {w: p for w in missing if (p := self._pieces(w))}
+        need = list(dict.fromkeys(p for x in spelled.values() for p in x if p not in self.pieces))
+        self._learn(need)
         get = self.pieces.__getitem__
-        raw = [b"".join(map(get, x)) for x in spelled]
-        for i in odd:
-            raw[i] = np.array(self.tokenizer.encode(distinct[i].as_py(), add_special_tokens=False).ids, np.uint16).tobytes()
+        for w in missing:
+            if w in spelled:
+                x = spelled[w]
+                self.words[w] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
+            else:
+                self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint16).tobytes()
+        raw = list(map(self.words.__getitem__, named))
         size = np.fromiter((len(x) // 2 for x in raw), np.int64, len(raw))
         store, start = np.frombuffer(b"".join(raw), np.uint16), np.cumsum(size) - size
         each = size[codes]
@@ -187,7 +190,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         context = TaskContext.get()
         seen = 0
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, STEP_BYTES):
                 ids, sizes = encode(part.column(1))
                 ends = np.cumsum(sizes)
                 out: list[list] = [[], [], [], [], [], []]

@@ -158,7 +158,7 @@ SQL: dict[str, str] = {
         greatest(least(p_size, 30), 10)::bigint + greatest(p_size, 25) + least(p_size, 5) as e, round(case when p_size > 20 and p_retailprice < 1200 then sqrt(p_retailprice) else ln(1 + p_size) end, 6) as f,
         -1 as g, (p_size + 1)::bigint * (p_size + 1) as h, round(sqrt(p_size * p_size + 9) + atan2(p_size, 2) + cbrt(p_size), 6) as i from part""",
     "value_bits": "select o_orderkey, (o_orderkey & 255) | (o_custkey << 3) as a, xor(o_orderkey, o_custkey) as b, (~o_orderkey) >> 2 as c, (o_orderkey >> 3) + 64 as e from orders",
-    "value_dates": """select event_id, year(ts) as y, month(ts) as m, isodow(ts) as dow, dayofyear(ts) as doy, weekofyear(ts) as w, quarter(ts) as q, hour(ts + interval 330 minute) as h, minute(ts) as mi, epoch_ms(ts) as ms, epoch_ms(ts) % 86400000 as mod from events""",
+    "value_dates": """select event_id, year(ts) as y, month(ts) as m, isodow(ts) as dow, dayofyear(ts) as doy, weekofyear(ts) as w, quarter(ts) as q, hour(ts + interval 330 minute) as h, minute(ts) as mi, epoch_us(ts) // 1000 as ms, epoch_us(ts) // 1000 % 86400000 as mod from events""",
     "value_decay": """select p_partkey, round(exp(ln(0.4) * power(greatest(abs(p_size - 25) - 2, 0), 2) / 100), 6) as g, round(exp(ln(0.5) * abs(p_size - 25) / 10.0), 6) as e, round(greatest(0, (600 - abs(p_retailprice - 1000)) / 600), 6) as l from part""",
     "value_geo": f"""select c_custkey, (8::bigint << 58) | (least(greatest(floor((lon + 180) / 360 * 256), 0), 255)::bigint << 29) | least(greatest(floor((1 - ln(tan(radians(least(greatest(lat, -85.05112878), 85.05112878))) + 1 / cos(radians(least(greatest(lat, -85.05112878), 85.05112878)))) / pi()) / 2 * 256), 0), 255)::bigint as tile,
         (lat <= 40 and lat >= -20 and lon between -20 and 60)::bigint as box, round({HAVERSINE.format(lat1='lat', lon1='lon', lat2='0.0', lon2='0.0')} / 1000, 4) as arc,

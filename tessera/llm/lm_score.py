@@ -271,12 +271,17 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
             back[by] = np.arange(len(by))
             yield level, sizes, c[by], f[by], np.searchsorted(place[by], np.arange(shards + 1)), back[number]
 
-    sent = "level int, shard long, slice long, context binary, sizes binary, follower binary, count binary"
+    texts = f"keys array<{kind}>, train array<boolean>, lengths array<long>, chain array<binary>"
+    sent = f"level int, shard long, slice long, context binary, sizes binary, follower binary, count binary, {texts}"
+    names = [x.split()[0] for x in sent.split(", ")]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A slice's n-grams for each shard, and at level 0 what its sums need: each token's longest n-gram, and each n-gram's next shorter one."""
         for name, part in sliced(batches):
             learned = part.column(1).to_numpy(zero_copy_only=False)
+            numbers = []
             for level, sizes, c, f, bounds, number in levels(part):
+                numbers.append(number)
                 count = np.bincount(number, weights=np.repeat(learned, sizes), minlength=len(c)).astype(np.uint32)
                 out: list[list] = [[] for _ in range(7)]
                 for shard in range(shards):
@@ -287,7 +292,16 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                     follower = b"" if level == 1 else (f[a:b] >> np.uint64(32)).astype(np.uint32).tobytes()
                     for column, x in zip(out, (level, shard, name, c[a:b][heads].tobytes(), np.diff(np.r_[heads, b - a]).astype(np.uint16 if b - a < 1 << 16 else np.uint32).tobytes(), follower, count[a:b].astype(np.uint8 if count[a:b].max() < 256 else np.uint32).tobytes())):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:3]), *(pa.array(x, pa.binary()) for x in out[3:])], names=["level", "shard", "slice", "context", "sizes", "follower", "count"])
+                none = [pa.nulls(len(out[0]), t) for t in (pa.list_(part.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:3]), *(pa.array(x, pa.binary()) for x in out[3:]), *none], names=names)
+            chain = [_packed(numbers[-1])]
+            for longer, shorter in zip(numbers[:0:-1], numbers[-2::-1]):
+                of = np.zeros(int(longer.max()) + 1, np.int64)
+                of[longer] = shorter
+                chain.append(_packed(of))
+            own = [pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([part.column(1).to_pylist()], pa.list_(pa.bool_())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([chain], pa.list_(pa.binary()))]
+            place = int(mixed(np.array([name], np.uint64))[0] % np.uint64(shards))
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([place], pa.int64()), pa.array([name], pa.int64()), *(pa.array([b""], pa.binary()) for _ in range(4)), *own], names=names)
 
     def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         heads = np.frombuffer(row.context, np.uint64)
@@ -296,11 +310,13 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         f = np.frombuffer(row.follower, np.uint32) if row.level > 1 else np.zeros(len(c), np.uint32)
         return c, f, np.frombuffer(row.count, np.uint8 if len(row.count) == len(c) else np.uint32).astype(np.int64)
 
-    answered = "level int, shard long, slice long, first binary, second binary, third binary, tokens long, types long"
+    answered = f"level int, shard long, slice long, first binary, second binary, third binary, tokens long, types long, {texts}"
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         """For words their counts; for longer n-grams both factors. A row without slice has totals, or those of hot contexts."""
         level, shard = int(pdf["level"].iloc[0]), int(pdf["shard"].iloc[0])
+        if level == 0:
+            return pdf.assign(first=b"", second=b"", third=b"", tokens=0, types=0)[[x.split()[0] for x in answered.split(", ")]]
         asked = [unpack(r) for r in pdf.itertuples()]
         learnt = [(c[n > 0], f[n > 0], n[n > 0]) for c, f, n in asked]
         trie = Trie(*(np.concatenate([x[i] for x in learnt]) for i in range(3)))
@@ -321,7 +337,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 far = np.flatnonzero(np.isin(c, warm))
                 held = np.searchsorted(warm, c[far]).astype(np.uint16).tobytes() + counts[at][far].astype(np.uint32).tobytes() + far.astype(np.uint32).tobytes()
                 out.append((level, shard, r.slice, quantised(counts[at] / scale).tobytes(), quantised(spread[of] / scale).tobytes(), held, 0, 0))
-        return pd.DataFrame(out, columns=["level", "shard", "slice", "first", "second", "third", "tokens", "types"])
+        return pd.DataFrame(out, columns=["level", "shard", "slice", "first", "second", "third", "tokens", "types"]).assign(keys=None, train=None, lengths=None, chain=None)
 
     answers = cut(rows.mapInArrow(ask, sent).groupBy("level", "shard").applyInPandas(answer, answered))
     known = answers.where("level = 1 and slice = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
@@ -330,24 +346,10 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     for r in answers.where("level > 1 and slice = -1 and octet_length(first) > 0").select("level", "first", "second").toLocalIterator():
         sums[r["level"]][:, np.searchsorted(hot[r["level"]], np.frombuffer(r["first"], np.uint64))] += np.frombuffer(r["second"], np.int64).reshape(2, -1)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What a slice needs to sum up its texts: each token's longest n-gram, and each n-gram's next shorter one."""
-        for name, part in sliced(batches):
-            numbers = [x[5] for x in levels(part)]
-            chain = [_packed(numbers[-1])]
-            for longer, shorter in zip(numbers[:0:-1], numbers[-2::-1]):
-                of = np.zeros(int(longer.max()) + 1, np.int64)
-                of[longer] = shorter
-                chain.append(_packed(of))
-            sizes = np.diff(np.r_[0, np.cumsum(words(part.column(2))[0] + 1)])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in (b"", b"", b"")), pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([part.column(1).to_pylist()]), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([chain], pa.list_(pa.binary()))], names=["level", "shard", "slice", "first", "second", "third", "keys", "train", "sizes", "chain"])
-
-    kept = f"level int, shard long, slice long, first binary, second binary, third binary, keys array<{kind}>, train array<boolean>, sizes array<long>, chain array<binary>"
-
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["level", "shard"])
         head, rest = pdf.iloc[0], pdf.iloc[1:]
-        sizes, chain = np.array(head["sizes"], np.int64), [_unpacked(x) for x in head["chain"]]
+        sizes, chain = np.array(head["lengths"], np.int64), [_unpacked(x) for x in head["chain"]]
         count = np.frombuffer(b"".join(rest.loc[rest["level"] == 1, "first"]), np.uint32).astype(np.int64)
         base = np.log10((count + 1) / (n_all + types + 1))
         p = (count + 1) / (n_all + types + 1)
@@ -371,8 +373,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  a text has one token or more
         return pd.DataFrame({key: head["keys"], "train": head["train"], "n_tokens": sizes, "n_known": add((count[word] > 0).astype(np.int64)), "train_tokens": n_all, "train_types": types, "base_score": add(base[word]), "score": add(np.log10(p)[chain[0]])})
 
-    none = answers.where("slice >= 0").select("level", "shard", "slice", "first", "second", "third", *(F.lit(None).cast(f"array<{t}>").alias(x) for x, t in (("keys", kind), ("train", "boolean"), ("sizes", "long"), ("chain", "binary"))))
-    return rows.mapInArrow(keep, kept).unionByName(none).groupBy("slice").applyInPandas(add_up, result)
+    return answers.where("slice >= 0").groupBy("slice").applyInPandas(add_up, result)
 
 
 def _packed(x: np.ndarray) -> bytes:

@@ -19,9 +19,10 @@ from ..plans.errors import RequestError, only
 from . import facets
 from . import query as queries
 from .collection import ORDER, Collection, Scope
+from .output import FLAGS, decorated, documents, shaped
 
-LIST = "query filter sort limit offset fields ops collapse diversify min_score get_scores count_limit row_ops top_docs name "
-REQUEST = "request_id freshness_ms min_commit time_zone vars profile explain max_parallel exact_norms now document_format date_iso date_ms date_ns date_native int64_str "
+LIST = "query filter sort limit offset fields ops collapse diversify min_score get_scores count_limit row_ops top_docs name decorators "
+REQUEST = "request_id freshness_ms min_commit time_zone vars profile explain max_parallel exact_norms now document_format date_iso date_ms date_ns date_native int64_str decimal_scaled estimate_count cache "
 FACETS = ("field_facet", "range_facet", "query_facet")
 #: Operations of one's own: name -> (list, frame, spec) -> DataFrame.
 CUSTOM: dict[str, Callable[[Any, DataFrame, Any], DataFrame]] = {}
@@ -41,11 +42,12 @@ class Result:
     ops: dict[str, Any] = field(default_factory=dict)
     warnings: list = field(default_factory=list)
     row_ops: dict[str, DataFrame] = field(default_factory=dict)
+    layout: str = "row"
 
     def to_dict(self) -> dict[str, Any]:
         out: dict[str, Any] = dict(self.count())
         if self.docs is not None:
-            out["docs"] = [{k: v for k, v in r.asDict(recursive=True).items() if v is not None} for r in self.docs.collect()]
+            out["docs"] = documents(self.docs, self.layout)
         if self.ops:
             out["ops"] = {n: o.to_dict() if hasattr(o, "to_dict") else o for n, o in self.ops.items()}
         if self.warnings:
@@ -273,6 +275,7 @@ class List:
         return page.select(*out, *[F.col(e) for e in extra])
 
     def found(self) -> dict[str, Any]:
+        # An estimate (-2) may always be exact.
         limit = int(self.spec.get("count_limit", -1))
         if limit == 0:
             return {}
@@ -289,8 +292,10 @@ class List:
 
     def result(self) -> Result:
         limit = int(self.spec.get("limit", 10))
-        docs = self.projected(self.page) if limit else None
-        out = Result(docs, self.rows(), self.found, self.ops(self.spec.get("ops") or {}), self.scope.warnings)
+        flags = {**self.scope.options.get("flags", {}), **{f: self.spec[f] for f in FLAGS if f in self.spec}}
+        docs = self.projected(decorated(self.page, self.spec.get("decorators") or [])) if limit else None
+        docs = shaped(docs, flags) if docs is not None and any(flags.values()) else docs
+        out = Result(docs, self.rows(), self.found, self.ops(self.spec.get("ops") or {}), self.scope.warnings, layout=self.spec.get("document_format", "row"))
         for name, op in (self.spec.get("row_ops") or {}).items():
             out.row_ops[name] = self.children(op)
         return out
@@ -470,6 +475,7 @@ def search(collection: Collection, request: Mapping[str, Any]) -> Result:
         from ..functions import dates
 
         options["now"] = dates.window(options["now"], 0)[0]
+    options["flags"] = {f: request[f] for f in FLAGS if f in request}
     scope = Scope(collection.view(), options)
     ops = request.get("ops")
     if ops is not None and not (set(request) & set("query filter sort limit collapse fields diversify".split())):

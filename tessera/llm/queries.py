@@ -18,9 +18,9 @@ LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = lm_score.remainder(F.col("doc_id"), 7) == 2
-    scored = lm_score.score(table(spark, sf_dir, "documents"), ~held_out)
-    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "train_types", "base_score", "score")
+    held_out = F.coalesce(lm_score.remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    scored = lm_score.score(table(spark, sf_dir, "documents"), ~held_out & F.col("doc_id").isNotNull())
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "train_types", "base_score", "score")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,20 @@ def test_field_map_and_changes(spark):
     log = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 1, False)], "id int, seq int, gone boolean")
     assert [r["id"] for r in changes(log, "id", "seq", "gone").collect()] == [2]
     assert histogram(spark.readStream.format("rate").load(), "timestamp", "1 minute", "1 minute").isStreaming
+
+
+def test_coercion(spark):
+    from datetime import datetime
+
+    from tessera.sources.coerce import coerced, geohash
+
+    rows = [("a", "7", "2024-02", "10.0.0.1", "40.5,-74", ["b", "a", "b"], "true", [3.0, 4.0]), ("b", "7.5", "2024-02", None, None, [], None, None), ("c", "8", "soon", None, None, None, None, None), ("d", None, None, None, "POINT(1 2)", None, None, [float("nan"), 1.0]), (None, "1", None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id string, n_i string, at_dt string, from_ip string, where_p string, tag_ss array<string>, ok_b string, e_v array<double>")
+    schema = {"e_v": {"type": "vector", "metric": "cosine", "dims": 2}}
+    good, bad = coerced(df, schema)
+    row = good.first()
+    assert (row["n_i"], row["at_dt"], row["where_p"]["lat"], row["tag_ss"], row["ok_b"]) == (7, datetime(2024, 2, 1), 40.5, ["a", "b"], True)
+    assert [round(x, 6) for x in row["e_v"]] == [0.6, 0.8] and good.count() == 1
+    assert {r["id"]: r["error"] for r in bad.collect()} == {"b": "n_i is not int", "c": "at_dt is not date", "d": "e_v is not vector", None: "id is missing"}
+    assert coerced(df, schema, ignore_malformed=True)[0].count() == 4
+    assert [round(x, 2) for x in geohash("ezs42")] == [42.6, -5.6]

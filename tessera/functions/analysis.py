@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from functools import cache, lru_cache
 from html.entities import html5
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -220,21 +220,27 @@ def tokens(c: Column, spec: str | Sequence[Step], multi: bool = False) -> Column
     if not multi and all((s if isinstance(s, str) else s[0]) in NATIVE for s in steps):
         return _native(c, steps)
 
-    @F.pandas_udf(TOKEN)
-    def made(values: pd.Series) -> pd.Series:
-        def one(value):
+    @F.arrow_udf(TOKEN)
+    def made(values: pa.Array) -> pa.Array:
+        ends: list[int | None] = []
+        found: list[str] = []
+        places: list[int] = []
+        for value in values.to_pylist():
             if value is None:
-                return None
-            out, at = [], 0
-            for text in value if multi else [value]:
+                ends.append(None)
+                continue
+            ends.append(len(found))
+            at = 0
+            for text in value if multi else (value,):
                 own = [] if text is None else run(steps, text)
-                out += [{"t": t, "p": p + at} for t, p in own]
+                found += [t for t, _ in own]
+                places += [p + at for _, p in own]
                 at = (own[-1][1] + at + 1 if own else at) + GAP
-            return out
+        ends.append(len(found))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(places, pa.int32())], names=["t", "p"]))
 
-        return values.map(one)
-
-    return made(c)
+    # Told to be indeterminate, it runs once a row, however many conditions and scores read its tokens.
+    return made.asNondeterministic()(c)
 
 
 def _native(c: Column, steps: Sequence[Step]) -> Column:

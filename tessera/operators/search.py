@@ -172,11 +172,16 @@ class List:
     def rows(self, op: str = "", query: bool = True) -> DataFrame:
         """Matches as the named operation sees them, with `_score_`."""
         base = self.domain if self.domain is not None else self.scope.view.base
-        base = queries.attach(self.scope, self.scope.view.analyse(base))
         keep = self.query.match if query else F.lit(True)
         for test, spared, _ in self.filters:
-            if op not in spared:
+            if op in spared:
+                continue
+            # What needs neither tokens nor joins is settled first, at the scan.
+            if "_tok_" in str(test) or "_j" in str(test):
                 keep = keep & test
+            else:
+                base = base.where(test)
+        base = queries.attach(self.scope, self.scope.view.analyse(base))
         out = base.where(keep).withColumn("_score_", self.query.score if query else F.lit(1.0))
         return out.where(F.col("_score_") >= float(self.least)) if self.least is not None and query else out
 

@@ -25,7 +25,7 @@ WINDOW, END_ID = 4096, 2
 #: Documents dealt together. A group's windows are within a few tokens of each other, so padding is about one window a group.
 GROUP = 4000
 #: Words, and pieces of words, that a worker keeps between slices; and text bytes of a slice.
-KEPT, STEP_BYTES = 500_000, 12 << 20
+KEPT, STEP_BYTES = 500_000, 8 << 20
 #: Characters that the tokenizer is given at a time.
 CHARS = 1 << 14
 

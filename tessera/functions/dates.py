@@ -40,7 +40,6 @@ def moved(local: datetime, n: int, unit: str) -> datetime:
 
 
 def floored(local: datetime, unit: str) -> datetime:
-    at = NAMES.index(unit)
     if unit == "week":
         local = local - timedelta(days=local.weekday())
     if unit == "quarter":
@@ -49,7 +48,6 @@ def floored(local: datetime, unit: str) -> datetime:
     keep = {"year": (), "quarter": ("month",), "month": ("month",), "week": ("month", "day"), "day": ("month", "day"), "hour": ("month", "day", "hour"), "minute": ("month", "day", "hour", "minute"), "second": ("month", "day", "hour", "minute", "second")}.get(unit)
     if keep is None:
         return local.replace(microsecond=local.microsecond // 1000 * 1000)
-    assert at >= 0
     return local.replace(**{k: v for k, v in parts.items() if k not in keep})
 
 

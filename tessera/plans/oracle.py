@@ -43,12 +43,7 @@ def _phrase(words: Sequence[str]) -> str:
     return f"len(list_filter(range(1, len(w) + 1), lambda i: {places}))"
 
 
-def _hist(width: str) -> str:
-    return f"floor({width})"
-
-
 PLACES = "(select *, (c_custkey * 37 % 1700)::double / 10 - 85 as lat, (c_custkey * 101 % 3600)::double / 10 - 180 as lon from customer)"
-BASKETS = "i as (select * from lineitem)"
 GRID = lambda c, span: f"least(floor(({c} + {span}) * (4294967296.0 / {2 * span})), 4294967295)"
 HAVERSINE = "2 * 6371008.7714 * asin(least(sqrt(power(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * power(sin(radians({lon2} - {lon1}) / 2), 2)), 1))"
 SPAN = "(select p_partkey, p_size::bigint as lo, p_size + p_partkey % 7 as hi from part)"
@@ -56,11 +51,7 @@ RING = [[-50, -50], [60, -40], [70, 50], [-40, 60]], [[-10, -10], [10, -10], [10
 EDGES = ", ".join(f"({a[0]}.0, {a[1]}.0, {b[0]}.0, {b[1]}.0)" for r in RING for a, b in zip(r, [*r[1:], r[0]]) if a[1] != b[1])
 VECTOR = "q as (select embedding as v from embeddings where vec_id = 0)"
 COSINE = "list_cosine_similarity(embedding::double[], (select v::double[] from q))"
-HEAD = f"h as (select *, {_words('text')} as w, {_words(chr(39).join(['string_split(text, chr(10))[1]']))} as g from documents)"
-
-
-def _per_bucket(select: str, by: str) -> str:
-    return f"select {by}, count(*) as count from {select} group by {by}"
+HEAD = f"h as (select *, {_words('text')} as w, {_words('string_split(text, chr(10))[1]')} as g from documents)"
 
 
 SQL: dict[str, str] = {

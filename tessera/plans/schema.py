@@ -107,14 +107,16 @@ class Schema:
     """Explicit fields first, then suffix templates, then the column's own type."""
 
     def __init__(self, fields: Mapping[str, Field | str | Mapping] | None = None):
-        self.fields = {n: self._made(n, f) for n, f in (fields or {}).items()}
+        self.fields: dict[str, Field] = {}
+        for n, f in (fields or {}).items():
+            self.fields[n] = self._made(n, f)
 
     def _made(self, name: str, spec: Field | str | Mapping) -> Field:
         if isinstance(spec, Field):
             return spec
         spec = {"type": spec} if isinstance(spec, str) else dict(spec)
         variants = {label: self._made(f"{name}__{label}", {"column": name, **({"type": v} if isinstance(v, str) else v)}) for label, v in spec.pop("variants", {}).items()}
-        parent = self.fields[spec.pop("parent")] if "parent" in spec else Field(name, "string") if hasattr(self, "fields") else Field(name, "string")
+        parent = self.fields[spec.pop("parent")] if "parent" in spec else Field(name, "string")
         kinds = {k: tuple(v) if isinstance(v, list) else v for k, v in spec.items()}
         try:
             return replace(parent, name=name, variants=variants or parent.variants, **kinds)

@@ -395,6 +395,25 @@ def test_ngram_join_is_brute_force(spark, none, monkeypatch, n, percent, tight):
     assert ngram_join.link(none).count() == 0
 
 
+@pytest.mark.parametrize(("n", "percent", "tight"), [(3, 90, False), (5, 80, False), (5, 80, True)])
+def test_ngram_join_links_texts_with_passages_added_or_cut(spark, monkeypatch, n, percent, tight):
+    if tight:
+        monkeypatch.setattr(ngram_join, "SMALL", 3)
+    rng = random.Random(n)
+    data = []
+    for g in range(60):
+        text = [f"g{g}w{i}" for i in range(rng.randint(60, 140))]
+        size = len(text) * (100 - percent) // 100 - rng.randint(0, 2)
+        at = rng.randrange(len(text))
+        more = [f"g{g}m{i}" for i in range(size)]
+        forms = [text, text + more, text[:-size], text[: max(1, at - n)] + more[: max(1, size - n)] + text[max(1, at - n) :], more + text]
+        data += [(len(data) + i, " ".join(x), "en", "s", 1) for i, x in enumerate(rng.sample(forms, rng.randint(2, 4)))]
+    rng.shuffle(data)
+    want = joined(data, n, percent)
+    assert len({c for _, _, c in want}) < len(data) - 40
+    assert rows(ngram_join.link(spark.createDataFrame(data, SCHEMA), n=n, percent=percent)) == want
+
+
 # 10
 
 

@@ -18,12 +18,15 @@ from .common import cut, mixed, slices
 
 #: Characters of a segment, of a q-gram, and errors allowed in a whole segment (shorter items: in proportion).
 WINDOW, Q, EDITS = 64, 8, 3
+#: Characters from one segment's start to the next. Any passage of WINDOW characters is then within STRIDE // 2 of a segment.
+STRIDE = 4
 #: Bits of the table that tells most q-grams of texts apart from those of items.
 TABLE_BITS = 22
-#: Characters of items whose index is sent to the executors at a time; a longer benchmark takes more passes.
+#: Characters of items, once for each half window of their segments' starts, whose index is sent to the executors at a time;
+#: a longer benchmark takes more passes.
 BLOCK_CHARS = 4 << 20
-#: Text bytes gone through at a time.
-STEP_BYTES = 1 << 20
+#: Text bytes gone through at a time, and candidates aligned at a time.
+STEP_BYTES, ALIGNED = 1 << 18, 1 << 15
 
 
 def normal(text: str) -> str:
@@ -56,7 +59,7 @@ class Index:
         for item, text in items:
             codes = _codes(normal(text or ""))
             last = max(0, len(codes) - WINDOW)
-            for start in sorted({*range(0, last, WINDOW // 2), last}):
+            for start in sorted({*range(0, last, STRIDE), last}):
                 part = codes[start : start + WINDOW]
                 if len(part) < Q:
                     continue
@@ -105,6 +108,9 @@ class Index:
 
         Row i of the alignment has columns i to i + width of the band, for all candidates at once.
         """
+        if len(segment) > ALIGNED:
+            parts = [self.verified(codes, segment[i : i + ALIGNED], diagonal[i : i + ALIGNED]) for i in range(0, len(segment), ALIGNED)]
+            return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
         width = 3 * (EDITS + 1) + EDITS
         low = diagonal - EDITS
         steps = np.arange(width + 1)
@@ -129,7 +135,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Index]:
     size = 0
     for row in benchmark.select(item, text).where(F.col(text).isNotNull() & F.col(item).isNotNull()).toLocalIterator():
         held.append((row[0], row[1]))
-        size += len(row[1])
+        size += len(row[1]) * (WINDOW // 2) // STRIDE
         if size > BLOCK_CHARS:
             yield Index(held)
             held, size = [], 0

@@ -202,6 +202,15 @@ def test_decontamination_is_brute_force(spark, docs, none):
     assert decontaminate.mark(none, bench).count() == 0 and decontaminate.mark(frame, bench.limit(0)).where("size(item_ids) > 0").count() == 0
 
 
+def test_decontamination_finds_passages_of_a_window_wherever_they_start(spark):
+    rng = random.Random(9)
+    item = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    texts = [f"zz yy {item[i : i + 64].strip()} xx ww" for i in range(len(item) - 64)]
+    frame = spark.createDataFrame(list(enumerate([*texts, "zz yy " + item[3:50] + " xx"])), "doc_id long, text string")
+    got = decontaminate.mark(frame, spark.createDataFrame([(7, item)], "item_id long, text string")).where("size(item_ids) > 0")
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(len(texts)))
+
+
 # 5
 
 

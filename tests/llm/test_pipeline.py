@@ -37,6 +37,18 @@ def test_stages(spark, sf_dir):
             assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before}
 
 
+def test_near_copies_are_dropped_by_row(spark, sf_dir):
+    text = lambda g, more="": " ".join(f"g{g}w{i}" for i in range(60)) + more
+    data = [
+        (1, text(1), "en", "a", 1), (5, text(1, " tail"), "en", "a", 1), (5, text(2), "en", "a", 1),  # id 5: a near copy and a text of its own
+        (None, text(3), "en", "a", 1), (None, text(3, " tail"), "en", "a", 1), (None, text(4), "en", "a", 1), (9, text(4), "en", "b", 1),
+        (7, text(5), "en", "a", 1), (7, text(5), "fr", "b", 1), (7, text(5), "en", "a", 1), (8, None, "en", "a", 1), (8, None, "en", "a", 1),
+    ]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"] and r["text"].split()[0]) for r in pipeline.near_copies(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "g1w0"), (5, "g2w0"), (None, "g3w0"), (9, "g4w0"), (7, "g5w0"), (8, None)], key=repr)
+
+
 def test_registered():
     names = entry.queries()
     assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names

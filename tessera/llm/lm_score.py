@@ -221,7 +221,9 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     `score` is the log10 probability of the text under the interpolated model, `base_score` under P(w) alone.
 
     A null or empty text is one end. Rows that repeat are counted and scored each, whatever their keys. No rows give
-    none; without a training row, N and V are 0. Words and contexts are told apart by 64-bit hashes.
+    none; without a training row, N and V are 0. Words and contexts are told apart by 64-bit hashes,
+    followers of a context by the upper 32 bits of theirs: of a million distinct ones after one context, about 116 pairs
+    share their counts in `score`.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))

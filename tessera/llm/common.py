@@ -53,12 +53,14 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterat
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     """Words `[^\\x20\\x09-\\x0D]+` of each text, A-Z in lower case if `lower`: how many, and all of them in order. A null text has none."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    split = pc.ascii_split_whitespace(texts)
     flat, offsets = split.flatten(), split.offsets.to_numpy().astype(np.int64)
     full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     before = np.concatenate(([0], np.cumsum(full)))
     offsets = offsets - offsets[0]
-    return np.diff(before[offsets]), flat.filter(pa.array(full))
+    # A copy of its own: ascii_lower reads wrong bytes of arrays that begin within a buffer.
+    flat = flat.take(pa.array(np.flatnonzero(full)))
+    return np.diff(before[offsets]), pc.ascii_lower(flat) if lower else flat
 
 
 def coded(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:

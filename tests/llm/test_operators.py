@@ -15,6 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import decontaminate, lang_id, line_dedup, lm_score, ngram_join, packing, quotation, secret_scan, url_filter, weighted_sampling
+from tessera.llm.common import slices
+from tessera.llm.common import words as split_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["the", "of", "alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "green", "ember", "quick", "Ünï", "café", "x1", "hello,"]
@@ -48,6 +50,28 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+# Words
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("aBZ \t\n\x0b\x1cÜé😀", max_size=12)), min_size=1, max_size=30), st.data())
+def test_words_of_slices(texts, data):
+    batch = pa.record_batch([pa.array(texts, pa.string())], names=["text"])
+    for limit in (1, 7, 1 << 20):
+        parts = list(slices(batch, "text", limit))
+        assert sum(p.num_rows for p in parts) == len(texts)
+        for lower in (True, False):
+            got = []
+            for part in parts:
+                counts, flat = split_words(part.column(0), lower)
+                ends = np.cumsum(counts)
+                got += [flat[int(e - c) : int(e)].to_pylist() for c, e in zip(counts, ends)]
+            assert got == [re.findall(r"[^\x20\x09-\x0d]+", ((t or "").translate({c: c + 32 for c in range(65, 91)}) if lower else t or "")) for t in texts]
+    start = data.draw(st.integers(0, len(texts) - 1))
+    part = batch.slice(start).column(0)
+    assert [x.tolist() for x in ngram_join.shingle_sets(part, 2)] == [x.tolist() for t in texts[start:] for x in ngram_join.shingle_sets(pa.array([t], pa.string()), 2)]
+
+
 # Elias-Fano
 
 

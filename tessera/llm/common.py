@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,20 +20,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, without its lineage; a lost executor costs no recomputation.
-
-    The folder is the cluster's spark.checkpoint.dir. Only where that is unset, on a local master, a temporary one serves.
-    """
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Only where that is unset, on a local master, a temporary one serves."""
     context = spark.sparkContext
-    if context.getConf().get("spark.checkpoint.dir", None) is None and context._jsc.sc().getCheckpointDir().isEmpty():
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if named is None and context._jsc.sc().getCheckpointDir().isEmpty():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` checkpointed in the shared folder, without its lineage; a lost executor costs no recomputation."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder as Parquet and read again.
+
+    Later steps read only the columns they need, and loops stay cheap to plan: a checkpoint hands on all constraints of
+    the plan it cuts, and those multiply from one turn to the next.
+    """
+    folder = f"{_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

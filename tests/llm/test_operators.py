@@ -412,7 +412,9 @@ def joined(data, n, percent):
 @pytest.mark.parametrize(("n", "percent", "tight"), [(3, 90, False), (5, 80, True), (2, 50, True)])
 def test_ngram_join_is_brute_force(spark, none, monkeypatch, n, percent, tight):
     if tight:  # pivots from the first round on
-        monkeypatch.setattr(ngram_join, "SMALL", 3)
+        monkeypatch.setattr(ngram_join, "PAIRS", 5)
+        monkeypatch.setattr(ngram_join, "FEW", 1)
+        monkeypatch.setattr(ngram_join, "ALONE", 2)
     rng = random.Random(n)
     data = corpus(n, 20)
     for g in range(6):
@@ -431,7 +433,9 @@ def test_ngram_join_is_brute_force(spark, none, monkeypatch, n, percent, tight):
 @pytest.mark.parametrize(("n", "percent", "tight"), [(3, 90, False), (5, 80, False), (5, 80, True)])
 def test_ngram_join_links_texts_with_passages_added_or_cut(spark, monkeypatch, n, percent, tight):
     if tight:
-        monkeypatch.setattr(ngram_join, "SMALL", 3)
+        monkeypatch.setattr(ngram_join, "PAIRS", 5)
+        monkeypatch.setattr(ngram_join, "FEW", 1)
+        monkeypatch.setattr(ngram_join, "ALONE", 2)
     rng = random.Random(n)
     data = []
     for g in range(60):

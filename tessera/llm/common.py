@@ -52,8 +52,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of `batch` with at most `limit` bytes of text, or one row."""
+def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of `batch` with at most `limit` bytes of text and `rows` rows, or one row."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -61,6 +61,7 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterat
     while at < len(sizes):
         before = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        to = min(to, at + rows) if rows else to
         yield batch.slice(at, to - at)
         at = to
 

@@ -21,8 +21,8 @@ DIMS, GRAMS = 4096, 3
 CLUSTERS, FIT_PER_LANGUAGE = 4, 500
 #: A text is rejected if its best cosine is under this part of what one in a hundred texts of the language falls below.
 REJECT = 0.5
-#: Text bytes turned into n-grams at a time.
-STEP_BYTES = 1 << 20
+#: Text bytes, and texts, turned into n-grams at a time. A text's counts take 16 KB however short it is.
+STEP_BYTES, STEP_ROWS = 1 << 20, 512
 UNKNOWN = "und"
 
 
@@ -81,7 +81,7 @@ class Model:
 
 def _parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for part in slices(batch, text, STEP_BYTES):
+        for part in slices(batch, text, STEP_BYTES, STEP_ROWS):
             yield part, *counts([x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()])
 
 

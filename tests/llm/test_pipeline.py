@@ -49,6 +49,24 @@ def test_near_copies_are_dropped_by_row(spark, sf_dir):
     assert sorted(got, key=repr) == sorted([(1, "g1w0"), (5, "g2w0"), (None, "g3w0"), (9, "g4w0"), (7, "g5w0"), (8, None)], key=repr)
 
 
+def test_stages_of_odd_rows(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _line string, item_ids int, score int"
+    some = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
+    odd = [(900, None, None, None, None), (901, "", "en", "a", 0), (None, "12 34", None, "b", 5), (902, "word " * 20_000, "en", None, 100_000)]
+    data = [(*x, "x", 1, 2) for x in [*some, *odd, some[0], some[0], odd[0]]]
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, spark.createDataFrame(data, schema), sf_dir)
+        ids = [r["doc_id"] for r in out.collect()]
+        assert set(ids) <= {x[0] for x in data} and len(ids) > 30, name
+        if name != "packing":
+            assert out.columns == list(pipeline.COLUMNS)
+        if name in ("line dedup", "n-gram Jaccard join", "benchmark decontamination"):
+            assert {900, 901, None} <= set(ids), name
+        if name == "n-gram Jaccard join":
+            assert ids.count(some[0][0]) <= 1 and ids.count(900) == 1
+        assert stage(spark, spark.createDataFrame([], schema), sf_dir).count() == 0
+
+
 def test_registered():
     names = entry.queries()
     assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names

@@ -255,4 +255,5 @@ def _native(c: Column, steps: Sequence[Step]) -> Column:
         if not isinstance(step, str) and step[0] == "stop":
             gone = list(step[1])
             out = F.filter(out, lambda x: ~x.t.isin(gone))
-    return F.when(c.isNotNull(), out)
+    # A condition that isn't deterministic keeps the plan from repeating the tokens in each filter and score that reads them.
+    return F.when(c.isNotNull() & (F.spark_partition_id() >= 0), out)

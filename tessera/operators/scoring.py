@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,20 +64,12 @@ def tf(column: str, term: str) -> Column:
 
 
 def phrase_freq(column: str, terms: Sequence[tuple[str, int]]) -> Column:
-    """Places where all terms stand at their distances from the first."""
+    """Places where all terms stand at their distances from the first: each term's places, moved to the first's, in common."""
     first, at = terms[0]
     if len(terms) == 1:
         return tf(column, first)
-    rest = [F.transform(_of(column, t), lambda x: x.p) for t, _ in terms[1:]]
-    starts = F.transform(_of(column, first), lambda x: x.p)
-
-    def holds(p: Column) -> Column:
-        out = F.lit(True)
-        for places, (_, q) in zip(rest, terms[1:]):
-            out = out & F.array_contains(places, p + (q - at))
-        return out
-
-    return F.size(F.filter(starts, holds))
+    starts = [F.transform(_of(column, t), lambda x, q=q: x.p - F.lit(q - at)) for t, q in terms]
+    return F.size(reduce(F.array_intersect, starts))
 
 
 def _of(column: str, term: str) -> Column:

@@ -68,8 +68,11 @@ def phrase_freq(column: str, terms: Sequence[tuple[str, int]]) -> Column:
     first, at = terms[0]
     if len(terms) == 1:
         return tf(column, first)
-    starts = [F.transform(_of(column, t), lambda x, q=q: x.p - F.lit(q - at)) for t, q in terms]
-    return F.size(reduce(F.array_intersect, starts))
+
+    def starts(term: str, ahead: int) -> Column:
+        return F.transform(_of(column, term), lambda x: x.p - F.lit(ahead))
+
+    return F.size(reduce(F.array_intersect, [starts(t, q - at) for t, q in terms]))
 
 
 def _of(column: str, term: str) -> Column:

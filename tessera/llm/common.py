@@ -37,14 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder as Parquet and read again.
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df` written to the shared folder as Parquet and read again; Python steps on the way get at most `rows` rows at a time.
 
     Later steps read only the columns they need, and loops stay cheap to plan: a checkpoint hands on all constraints of
     the plan it cuts, and those multiply from one turn to the next.
     """
-    folder = f"{_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    folder, before = f"{_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}", conf.get(name)
+    try:
+        if rows:
+            conf.set(name, str(rows))
+        df.write.parquet(folder)
+    finally:
+        conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

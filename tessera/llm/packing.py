@@ -25,7 +25,7 @@ WINDOW, END_ID = 4096, 2
 #: Documents dealt together. A group's windows are within a few tokens of each other, so padding is about one window a group.
 GROUP = 4000
 #: Words, and pieces of words, that a worker keeps between slices; and text bytes of a slice.
-KEPT, STEP_BYTES = 200_000, 4 << 20
+KEPT, STEP_BYTES = 500_000, 8 << 20
 #: Characters that the tokenizer is given at a time.
 CHARS = 1 << 14
 
@@ -60,7 +60,7 @@ class Encoder:
 
         The pattern's classes are then the same whatever version of Unicode `regex` and the tokenizer know.
         """
-        if not word.isascii() and any(unicodedata.ucd_3_2_0.category(x) == "Cn" for x in word):
+        if not word.isascii() and max(word) > "\xff" and any(unicodedata.ucd_3_2_0.category(x) == "Cn" for x in word):
             return None
         # Letter by letter in lower case, so no final sigma.
         word = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()

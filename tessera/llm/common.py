@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +65,55 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: What this Python worker keeps from one task to the next.
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What `make` gives, kept for tasks of the same step; a released() step that doesn't name `key` drops it."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], key: Hashable = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, in tasks that leave no memory behind.
+
+    Workers serve one step after another. Without this each would go on holding the most that any of its tasks took, and
+    what earlier steps keep.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k in [k for k in _KEPT if k != key]:
+            del _KEPT[k]
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return step
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns c0, c1, ..., so that an operator's own names can't clash with them, and those names by the former ones."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def back(df: DataFrame, names: dict[str, str], *own: str) -> DataFrame:
+    """The columns of numbered() under their former names, then the operator's `own`. Names change by place, so none can stand for another."""
+    return df.select(*names.values(), *own).toDF(*names, *own)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

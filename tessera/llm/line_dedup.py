@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import back, numbered
+
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 5
 #: Shorter lines (after trimming) are never boilerplate: short phrases recur by chance.
@@ -47,9 +49,12 @@ def remove(docs: DataFrame, text: str = "text", site: str = "source", min_sites:
     """`docs` with `text` less its boilerplate lines, and n_removed, their number; order and other lines stay.
 
     A null or empty text stays as it is. A null site counts towards no spread, but its boilerplate goes too. Lines
-    equal but for white space at their ends are the same. Repeated rows each stay. A column n_removed is replaced.
+    equal but for white space at their ends are the same. Repeated rows each stay. Texts and lines may be of any length. An
+    empty table gives an empty one. A column n_removed is replaced; others stay, whatever their names.
     """
-    docs = docs.drop("n_removed").withColumn("_doc", F.xxhash64(text))
+    docs, names = numbered(docs.drop("n_removed"))
+    text, site = names[text], names[site]
+    docs = docs.withColumn("_doc", F.xxhash64(text))
     bad = boilerplate(docs, text, site, min_sites)
     # By text, not by row: copies of a text lose the same lines.
     held = docs.select("_doc", F.explode(F.array_distinct(F.transform(lines(F.col(text)), line_hash))).alias("_line")).where("_line is not null").distinct()
@@ -59,4 +64,5 @@ def remove(docs: DataFrame, text: str = "text", site: str = "source", min_sites:
     out = docs.join(hits, F.bitwise_not("_doc") == F.col("_of"), "left")
     kept = F.filter(lines(F.col(text)), lambda x: ~F.coalesce(F.array_contains("_gone", line_hash(x)), F.lit(False)))
     n = F.when(F.col("_gone").isNull(), 0).otherwise(F.size(lines(F.col(text))) - F.size(kept)).cast("long")
-    return out.withColumns({text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")), "n_removed": n}).drop("_doc", "_of", "_gone")
+    cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    return back(out.withColumns({text: cleaned, "n_removed": n}), names, "n_removed")

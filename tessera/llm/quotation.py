@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import back, cut, numbered
 
 #: The marks before a quoted line, one `>` a level.
 MARKS = r"^(?:[ \t]*>)+[ \t]?"
@@ -51,10 +51,13 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     message without links is its own), `depth` the number of replies between.
 
     Null texts give null clean_text and no quotes; a null conversation or turn has no links. Repeated rows each come
-    out. Blank passages link to nothing. An empty table gives an empty one. Columns named like an output are replaced.
+    out. Empty texts give empty clean_text and no quotes; texts may be of any length. Blank passages link to nothing. An
+    empty table gives an empty one. Columns named like an output are replaced; others stay, whatever their names.
     """
     own = ["clean_text", "n_quotes", "n_linked", "parent_turn", "thread_root", "depth"]
-    messages = messages.drop(*own).withColumns({"clean_text": unquoted(F.col(text)), "_m": F.xxhash64(conversation, turn, text)})
+    messages, names = numbered(messages.drop(*own))
+    conversation, turn, text = names[conversation], names[turn], names[text]
+    messages = messages.withColumns({"clean_text": unquoted(F.col(text)), "_m": F.xxhash64(conversation, turn, text)})
     key = ["_conv", "_turn", "_m"]
     named = messages.select(F.col(conversation).alias("_conv"), F.col(turn).alias("_turn"), "_m", F.col(text).alias("_text"), F.col("clean_text").alias("_clean"))
     quotes = passages(named, key, "_text")
@@ -75,7 +78,7 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     found = parents.join(roots, ["_conv", "_turn"]).select(F.col("_m").alias("_p"), "n_linked", "parent_turn", "_root", "_depth")
     out = messages.join(counts, F.col("_m") == F.col("_q"), "left").join(found, F.col("_m") == F.col("_p"), "left")
     out = out.withColumns({"n_quotes": F.coalesce("n_quotes", F.lit(0)).cast("long"), "n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"), "thread_root": F.coalesce("_root", F.col(turn)), "depth": F.coalesce("_depth", F.lit(0)).cast("long")})
-    return out.drop("_m", "_q", "_p", "_root", "_depth").orderBy(conversation, "thread_root", turn)
+    return back(out.orderBy(conversation, "thread_root", turn), names, *own)
 
 
 def _roots(up: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import back, numbered
+
 #: Kinds in the order of their names in digests: (name, pattern, group of the secret, least characters of that group).
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -62,9 +64,12 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner:
     whatever their verdict; added kinds stay only if `live`.
 
     Null and empty texts have no secrets. Rows that repeat are scanned each. A null owner or repository isn't counted.
-    A column named `secrets` is replaced; other columns stay.
+    Texts may be of any length. An empty table gives an empty one. A column named `secrets` is replaced; others stay,
+    whatever their names.
     """
-    docs = docs.drop("secrets").withColumn("_row", F.xxhash64(F.col(repository), F.col(owner), F.col(text)))
+    docs, names = numbered(docs.drop("secrets"))
+    text, repository, owner = names[text], names[repository], names[owner]
+    docs = docs.withColumn("_row", F.xxhash64(F.col(repository), F.col(owner), F.col(text)))
     # Equal rows share a row key, have equal matches, and get equal results; candidates() keeps one of each match.
     once = docs.select("_row", F.col(text).alias("_text"), F.col(repository).alias("_repo"), F.col(owner).alias("_owner")).where(reduce(Column.__or__, (F.col("_text").rlike(p) for p in PROBES.values())))
     found = candidates(once, "_row", "_text", ["_repo", "_owner"])
@@ -79,5 +84,5 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner:
     kept = rows.where(F.col("kind").isin([k[0] for k in BASE]) | (F.col("verdict") == "live")).withColumn("rank", order)
     spans = kept.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "secret_sha256", "repositories", "owners", "verdict"))).alias("secrets"))
     spans = spans.select(F.col("_row").alias("_of"), "secrets")
-    out = docs.join(spans, F.col("_row") == F.col("_of"), "left").drop("_row", "_of")
-    return out.withColumn("secrets", F.coalesce("secrets", F.array().cast(spans.schema["secrets"].dataType)))
+    out = docs.join(spans, F.col("_row") == F.col("_of"), "left")
+    return back(out.withColumn("secrets", F.coalesce("secrets", F.array().cast(spans.schema["secrets"].dataType))), names, "secrets")

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import back, numbered
+
 #: A block is four 64-bit words; a key sets one bit in each.
 WORDS = 4
 #: Blocks a filter may have: with 40 bytes a row, at most 2.6 MB are broadcast.
@@ -97,11 +99,12 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     that many rows share costs as much as any other until its verdict is joined back.
 
     Null URLs and those without `://` have an empty host and path, no rule, and are allowed unless the list has the
-    empty string, which it never has here. Repeated rows each get their verdict. An empty table gives an empty one.
-    Columns of `pages` named like an output are replaced.
+    empty string, which it never has here. Repeated rows each get their verdict. URLs may be of any length. An empty table
+    gives an empty one. Columns of `pages` named like an output are replaced; others stay, whatever their names.
     """
     own = ["host", "path", "canonical_url", "rule", "listed", "verdict"]
-    pages = pages.drop(*own)
+    pages, names = numbered(pages.drop(*own))
+    url = names[url]
     host, path = host_of(F.col(url)), path_of(F.col(url))
     pages = pages.withColumns({"host": host, "path": path})
     pages = pages.withColumn("canonical_url", F.when(F.col("host") == "", F.lit("")).otherwise(canonical(F.col(url), F.col("host"), F.col("path"))))
@@ -114,7 +117,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     out = pages.join(rule, [F.xxhash64("host", "path") == F.col("_place"), F.col("host") == F.col("_host"), F.col("path") == F.col("_path")], "left").drop("_place", "_host", "_path")
     out = out.join(hit, [F.xxhash64("canonical_url") == F.col("_entry"), F.col("canonical_url") == F.col("_canonical")], "left").drop("_entry", "_canonical")
     by_list = F.when(F.coalesce("listed", F.lit(False)), "block").otherwise("allow")
-    return out.withColumns({"listed": F.coalesce("listed", F.lit(False)), "verdict": F.coalesce("rule_verdict", by_list)}).drop("rule_verdict")
+    out = out.withColumns({"listed": F.coalesce("listed", F.lit(False)), "verdict": F.coalesce("rule_verdict", by_list)})
+    return back(out, names, *own)
 
 
 def rules_table(spark: SparkSession, rules: Sequence[tuple[str, str]]) -> DataFrame:

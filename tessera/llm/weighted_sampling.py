@@ -110,7 +110,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", per_buc
     task goes through whole ranges, sorted, and no task sees all rows. Null texts count as empty.
     """
     spark = docs.sparkSession
-    order = F.coalesce(-F.col(key), F.lit((1 << 63) - 1))
+    order = F.coalesce(F.bitwise_not(F.col(key).cast("long")), F.lit((1 << 63) - 1))
     rows = docs.select(F.col(key).cast("long").alias("key"), order.cast("long").alias("_o"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     n = docs.count()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, slices
+from .common import cut, mixed, released, slices
 
 #: Characters of a segment, of a q-gram, and errors allowed in a whole segment (shorter items: in proportion).
 WINDOW, Q, EDITS = 64, 8, 3
@@ -25,8 +25,8 @@ TABLE_BITS = 22
 #: Characters of items, once for each half window of their segments' starts, whose index is sent to the executors at a time;
 #: a longer benchmark takes more passes.
 BLOCK_CHARS = 4 << 20
-#: Text bytes gone through at a time, and candidates aligned at a time.
-STEP_BYTES, ALIGNED = 1 << 18, 1 << 15
+#: Text bytes gone through at a time, shared q-grams counted at a time, and candidates aligned at a time.
+STEP_BYTES, HITS, ALIGNED = 1 << 18, 1 << 20, 1 << 15
 
 
 def normal(text: str) -> str:
@@ -82,8 +82,8 @@ class Index:
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.hash >> np.uint64(64 - TABLE_BITS)] = True
 
-    def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, first diagonal) of each band with hits enough. `codes` has texts between zeros."""
+    def candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(segment, first diagonal) of each band with hits enough, about HITS hits at a time; a band may come twice. `codes` has texts between zeros."""
         made = grams(codes)
         at = np.flatnonzero(self.table[made >> np.uint64(64 - TABLE_BITS)])
         slot = np.searchsorted(self.hash, made[at])
@@ -91,12 +91,23 @@ class Index:
         same = self.hash[slot] == made[at] if len(self.hash) else np.zeros(0, bool)
         at, slot = at[same], slot[same]
         times = self.start[slot + 1] - self.start[slot]
+        ends, start = np.cumsum(times), 0
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + HITS, side="right")))
+            # A band's hits are within so many characters, so of bands that begin before `stop` all hits are here.
+            upto = int(np.searchsorted(at, at[stop - 1] + WINDOW + 2 * (EDITS + 1), side="right"))
+            found = self._bands(len(codes), at[start:upto], slot[start:upto], times[start:upto])
+            if len(found[0]):
+                yield found
+            start = stop
+
+    def _bands(self, size: int, at: np.ndarray, slot: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(times)
         which = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - times - self.start[slot], times)
         segment, diagonal = self.segment[which], np.repeat(at, times) - self.position[which] + WINDOW
         # Bands start every step diagonals and are twice as wide, so that any step + 1 neighbouring ones share a band.
         step = EDITS + 1
-        size = (len(codes) + 2 * WINDOW) // step + 2
+        size = (size + 2 * WINDOW) // step + 2
         band = diagonal // step
         key = np.concatenate([segment * size + band, segment * size + np.maximum(band - 1, 0)])
         key, n = np.unique(key, return_counts=True)
@@ -165,18 +176,19 @@ def regions(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                     codes = _codes("\x00".join(["", *texts, ""]))
                     starts = np.flatnonzero(codes == 0) + 1
                     doc = np.cumsum(codes == 0) - 1
-                    segment, diagonal = index.candidates(codes)
-                    errors, end = index.verified(codes, segment, diagonal) if len(segment) else (np.zeros(0, np.int64),) * 2
-                    good = errors <= index.budget[segment] if len(segment) else np.zeros(0, bool)
-                    if not good.any():
+                    found = np.zeros((0, 4), np.int64)
+                    for segment, diagonal in index.candidates(codes):
+                        errors, end = index.verified(codes, segment, diagonal)
+                        good = errors <= index.budget[segment]
+                        segment, errors, end = segment[good], errors[good], end[good]
+                        of = doc[end - 1]
+                        # Neighbouring bands find the same stretch: one row for each text, item and end.
+                        found = np.unique(np.concatenate([found, np.stack([of, index.items[segment], end - starts[of], errors], axis=1)]), axis=0)
+                    if not len(found):
                         continue
-                    segment, errors, end = segment[good], errors[good], end[good]
-                    of = doc[end - 1]
-                    # Neighbouring bands find the same stretch: one row for each text, item and end.
-                    found = np.unique(np.stack([of, index.items[segment], end - starts[of], errors], axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found[:, 0])), *(pa.array(found[:, i]) for i in (1, 2, 3))], names=["key", "item_id", "end", "errors"])
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        out = out.unionByName(rows.mapInArrow(released(run), schema))
     return out.withColumnRenamed("key", key)
 
 
@@ -184,7 +196,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """`docs` with item_ids, the sorted distinct items that each text has a segment of. Columns of that name are replaced.
 
     Texts are marked where they are, so nothing is shuffled and repeated rows or null keys need no care; null texts have
-    no items. A benchmark of several blocks takes a pass each, with the table cut between.
+    no items; long and repetitive ones are counted in parts. A benchmark of several blocks takes a pass each, with the table cut between.
     """
     docs = docs.drop("item_ids").withColumn("item_ids", F.array().cast("array<long>"))
 
@@ -197,8 +209,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                     codes = _codes("\x00".join(["", *texts, ""]))
                     doc = np.cumsum(codes == 0) - 1
                     held = [set(x) for x in part.column(part.num_columns - 1).to_pylist()]
-                    segment, diagonal = index.candidates(codes)
-                    if len(segment):
+                    for segment, diagonal in index.candidates(codes):
                         errors, end = index.verified(codes, segment, diagonal)
                         good = errors <= index.budget[segment]
                         for i, x in zip(doc[end[good] - 1].tolist(), index.items[segment[good]].tolist()):
@@ -208,5 +219,5 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         return one
 
     for i, block in enumerate(_blocks(benchmark, item, item_text)):
-        docs = (cut(docs) if i else docs).mapInArrow(run(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+        docs = (cut(docs) if i else docs).mapInArrow(released(run(docs.sparkSession.sparkContext.broadcast(block))), docs.schema)
     return docs

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, lang_id, line_dedup, lm_score, ngram_join, packing, quotation, secret_scan, url_filter, weighted_sampling
 from tessera.llm.common import slices
@@ -50,6 +52,49 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+# Clashing columns
+
+@pytest.mark.parametrize(
+    ("operator", "columns"),
+    [
+        (line_dedup.remove, "doc_id long, text string, source string, _gone string, _doc string, _of string, _line string, _k string, c0 string, c3 string"),
+        (secret_scan.scan, "doc_id long, text string, source string, _of string, _row string, _text string, kind string, start string, c1 string"),
+        (quotation.link, "conv_id long, turn long, text string, _root string, _m string, _q string, _p string, _conv string, _clean string, c2 string"),
+        (lambda df: url_filter.judge(df, url_filter.rules_table(df.sparkSession, [("net/es/", "block")]), df.select(F.lit("x.org").alias("canonical_url"))), "page_id long, url string, _host string, _path string, rule_verdict string, _entry string, _block string, c0 string"),
+    ],
+)
+def test_columns_of_an_operators_own_names_stay(spark, operator, columns):
+    names = [x.split()[0] for x in columns.split(", ")]
+    value = {"text": "a line of more than twenty letters\n> token=abcdef12\nx", "url": "http://x.net/es/1"}
+    kept = [tuple(i if c in ("doc_id", "conv_id", "turn", "page_id") else value.get(c, c) for c in names) for i in range(3)]
+    out = operator(spark.createDataFrame(kept, columns))
+    assert out.columns[: len(names)] == names and len(set(out.columns)) == len(out.columns)
+    assert rows(out.select(*(c for c in names if c != "text"))) == sorted((tuple(x for c, x in zip(names, k) if c != "text") for k in kept), key=repr)
+    assert operator(spark.createDataFrame([], columns)).count() == 0
+
+
+def test_decontamination_of_repetitive_texts_takes_little_memory(spark, monkeypatch):
+    phrase = "one short phrase again and "
+    index = decontaminate.Index([(1, (phrase * 30)[:600])])
+    codes = decontaminate._codes("\x00" + phrase * 400 + "\x00")
+    monkeypatch.setattr(decontaminate, "HITS", 1 << 40)
+    ((segment, diagonal),) = index.candidates(codes)
+    whole = set(zip(segment.tolist(), diagonal.tolist()))
+    monkeypatch.setattr(decontaminate, "HITS", 1 << 14)
+    tracemalloc.start()
+    parts = set()
+    for segment, diagonal in index.candidates(codes):
+        parts |= set(zip(segment.tolist(), diagonal.tolist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts == whole and len(whole) > 10_000 and peak < 60 << 20
+
+
+def test_neighbours_of_the_least_key(spark):
+    got = weighted_sampling.neighbours(spark.createDataFrame([(-(1 << 63), "a b c"), ((1 << 63) - 1, "d e f"), (0, "g h i")], "doc_id long, text string")).collect()
+    assert {r["key"] for r in got} == {-(1 << 63), (1 << 63) - 1, 0}
+
+
 # Words
 
 
@@ -102,7 +147,6 @@ def test_trie_finds_what_it_holds_and_nothing_else():
 
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm_score_is_brute_force_but_for_quantising(docs, order):
-    from pyspark.sql import functions as F
 
     got = lm_score.score(docs, ~(lm_score.remainder(F.col("doc_id"), 7) == 2), order=order).collect()
     data = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -139,7 +183,6 @@ def test_lm_score_is_brute_force_but_for_quantising(docs, order):
 
 
 def test_lm_score_of_nothing(none):
-    from pyspark.sql import functions as F
 
     assert lm_score.score(none, F.lit(True)).count() == 0
 
@@ -172,7 +215,6 @@ def test_line_dedup(spark, none):
 
 
 def test_language_id_held_out(spark, none, sf_dir):
-    from pyspark.sql import functions as F
 
     data = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = lang_id.remainder(F.col("doc_id"), 5) == 0

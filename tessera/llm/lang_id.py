@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import released, slices
 
 #: Hashed dimensions of a vector; n-grams have 1 to GRAMS letters or word ends.
 DIMS, GRAMS = 4096, 3
@@ -103,7 +103,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", language:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS)), pa.array(held)], names=["d", "n"])
 
     held = np.zeros(DIMS)
-    for r in rows.select("t").mapInArrow(frequency, "d long, n long").groupBy("d").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("t").mapInArrow(released(frequency), "d long, n long").groupBy("d").agg(F.sum("n").alias("n")).collect():
         held[r["d"]] = r["n"]
     idf = (np.log((1 + sum(sizes.values())) / (1 + held)) + 1).astype(np.float32)
     share = F.lit(0.0)
@@ -123,7 +123,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", language:
         floor = float(np.quantile(np.max(points @ made.T, axis=1), 0.01)) * REJECT
         return pd.DataFrame({"l": pdf["l"].iloc[0], "v": [x.tobytes() for x in made], "f": floor})
 
-    made = sorted(chosen.select("t", "l").mapInArrow(vector, "l string, v binary").groupBy("l").applyInPandas(group, "l string, v binary, f double").collect(), key=lambda r: r["l"])
+    made = sorted(chosen.select("t", "l").mapInArrow(released(vector), "l string, v binary").groupBy("l").applyInPandas(group, "l string, v binary, f double").collect(), key=lambda r: r["l"])
     if not made:
         return None
     names = sorted({r["l"] for r in made})
@@ -153,7 +153,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 names = [model.languages[w] if x else UNKNOWN for w, x in zip(which, letters)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score), pa.array(bad)], names=[*part.schema.names, "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def remainder(key: Column, by: int) -> Column:

@@ -10,7 +10,6 @@ import heapq
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -19,12 +18,12 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import coded, mixed, slices, words
+from .common import coded, kept, mixed, released, slices, words
 
 WINDOW, END_ID = 4096, 2
 #: Documents dealt together. A group's windows are within a few tokens of each other, so padding is about one window a group.
 GROUP = 4000
-#: Words, and pieces of words, that a worker keeps between slices; and text bytes of a slice.
+#: Words, and pieces of words, that a worker keeps between slices, until it serves another step; and text bytes of a slice.
 KEPT, STEP_BYTES = 500_000, 8 << 20
 #: Characters that the tokenizer is given at a time.
 CHARS = 1 << 14
@@ -93,9 +92,9 @@ class Encoder:
         """Ids of all texts, one after another, and how many each has."""
         counts, flat = words(texts, lower=False)
         codes, distinct = coded(flat)
-        for kept in (self.words, self.pieces):
-            if len(kept) > KEPT:
-                kept.clear()
+        for held in (self.words, self.pieces):
+            if len(held) > KEPT:
+                held.clear()
         named = distinct.to_pylist()
         missing = [w for w in named if w not in self.words]
         spelled = {w: p for w in missing if (p := self._pieces(w))}
@@ -118,9 +117,8 @@ class Encoder:
         return ids, np.diff(upto)
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def deal(sizes: list[int], windows: int) -> list[list[int]]:
@@ -224,4 +222,4 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         return pdf.assign(sequence_id=(np.int64(pdf["g"].iloc[0]) << 32) + number, offset=offset).drop(columns="g")
 
     base = f"{key} {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
-    return rows.mapInArrow(cut, base + ", g long").groupBy("g").applyInPandas(arrange, base + ", sequence_id long, offset long")
+    return rows.mapInArrow(released(cut, ("encoder", tokenizer)), base + ", g long").groupBy("g").applyInPandas(arrange, base + ", sequence_id long, offset long")

@@ -37,7 +37,7 @@ CHAR_FILTERS = ("html_strip", "mapping", "nfkc_cf_chars")
 NATIVE = ("whitespace", "keyword", "lowercase", "english_possessive", "stop")
 GAP = 100
 #: Fixed names: elements that flow within a line, and those whose content is no text.
-INLINE = "a abbr acronym b basefont bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup tt u var wbr".split()
+INLINE = "a abbr acronym b basefont bdo big cite code dfn em font i img input kbd label q s samp select small span strike strong sub sup textarea tt u var".split()
 SILENT = "script style".split()
 
 

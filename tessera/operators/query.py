@@ -343,7 +343,7 @@ def _fuzzy(scope: Scope, spec: Mapping) -> Compiled:
     edits = spec.get("max_edits")
     edits = (0 if size <= 2 else 1 if size <= 5 else 2) if edits is None else int(edits)
     if edits > 2:
-        scope.warnings.append(Warn("fuzzy_clamped", f"fuzzy edit distance {edits} clamped to the supported maximum of 2"))
+        scope.warnings.append(Warn("fuzzy_clamped", f"max_edits is 2, not {edits}: more edits than two are never searched"))
         edits = 2
     head = term[: int(spec.get("prefix_length", 1))]
     latin = term.encode().decode("latin-1")

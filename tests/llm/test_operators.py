@@ -478,6 +478,7 @@ def test_ngram_join_links_texts_with_passages_added_or_cut(spark, monkeypatch, n
         monkeypatch.setattr(ngram_join, "PAIRS", 5)
         monkeypatch.setattr(ngram_join, "FEW", 1)
         monkeypatch.setattr(ngram_join, "ALONE", 2)
+        monkeypatch.setattr(ngram_join, "MEDIUM", 3)
     rng = random.Random(n)
     data = []
     for g in range(60):
@@ -496,6 +497,16 @@ def test_ngram_join_links_texts_with_passages_added_or_cut(spark, monkeypatch, n
 # 10
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    made = np.random.default_rng(5)
+    for n in (0, 1, 40, 700, 5000):
+        x = np.unique(made.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64))
+        y = np.unique(np.concatenate([x[n // 8 :], made.integers(0, 1 << 63, n // 9 + 1, dtype=np.int64).astype(np.uint64)]))
+        bits = sum(int(w).bit_count() for w in (ngram_join._sketch(x) ^ ngram_join._sketch(y)).view(np.uint64))
+        assert bits <= len(np.setxor1d(x, y)) and (bits - len(np.setxor1d(x, y))) % 2 == 0
+        assert len(ngram_join._sketch(x)) == ngram_join.SKETCH
+
+
 def test_sampling_estimates_generalised_jaccard():
     rng = random.Random(4)
     near = []

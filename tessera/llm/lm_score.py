@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, cut, hashes, mixed, slices, words
+from .common import coded, hashes, mixed, slices, stored, words
 
 #: Words of the longest n-gram.
 ORDER = 2
 #: Text bytes of a slice, and slices a shard.
-SLICE, PER_SHARD = 8 << 20, 4
+SLICE, PER_SHARD = 8 << 20, 2
 #: A context with this share of a slice's n-grams may be hot; its followers are then dealt over all shards.
 HOT_SHARE = 1 / 256
 #: Quantised factors: 0 is 0, 255 is 1, and steps between are equal in the logarithm, down to 2^-30.
@@ -341,7 +341,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 out.append((level, shard, r.slice, quantised(counts[at] / scale).tobytes(), quantised(spread[of] / scale).tobytes(), held, 0, 0))
         return pd.DataFrame(out, columns=["level", "shard", "slice", "first", "second", "third", "tokens", "types"]).assign(keys=None, train=None, lengths=None, chain=None)
 
-    answers = cut(rows.mapInArrow(ask, sent).groupBy("level", "shard").applyInPandas(answer, answered))
+    answers = stored(rows.mapInArrow(ask, sent).groupBy("level", "shard").applyInPandas(answer, answered))
     known = answers.where("level = 1 and slice = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n_all, types = int(known[0]), int(known[1])
     sums = {k: np.zeros((2, len(v)), np.int64) for k, v in hot.items()}
@@ -379,12 +379,11 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Three bytes a number where they do."""
-    wide = x.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return (b"\x03" + wide[:, :3].tobytes()) if not wide[:, 3].any() else (b"\x04" + wide.tobytes())
+    """How many numbers, then their bytes by place: the upper ones have few values, so that they take little room."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    width = raw[0]
-    narrow = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
-    return np.pad(narrow, ((0, 0), (0, 4 - width))).view("<u4").ravel().astype(np.int64)
+    n = int.from_bytes(raw[:8], "little")
+    places = np.frombuffer(pa.decompress(raw[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(places.T).view("<u4").ravel().astype(np.int64)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import mmap
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, hashes, mixed, slices, stored, words
+from .common import coded, give_back, hashes, mixed, released, slices, stored, words
 
 #: Words of the longest n-gram.
 ORDER = 2
@@ -246,7 +246,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     # At most 1 / HOT_SHARE contexts a level can have that share of all n-grams; the commonest are kept.
     hot: dict[int, np.ndarray] = {}
     for k in range(2, order + 1):
-        some = rows.mapInArrow(heavy, "level long, c long, n long").where(F.col("level") == k).groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(round(1 / HOT_SHARE)).collect()
+        some = rows.mapInArrow(released(heavy), "level long, c long, n long").where(F.col("level") == k).groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(round(1 / HOT_SHARE)).collect()
         hot[k] = np.sort(np.array([r["c"] for r in some], np.int64).view(np.uint64))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -341,7 +341,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 out.append((level, shard, r.slice, quantised(counts[at] / scale).tobytes(), quantised(spread[of] / scale).tobytes(), held, 0, 0))
         return pd.DataFrame(out, columns=["level", "shard", "slice", "first", "second", "third", "tokens", "types"]).assign(keys=None, train=None, lengths=None, chain=None)
 
-    answers = stored(rows.mapInArrow(ask, sent).groupBy("level", "shard").applyInPandas(answer, answered))
+    answers = stored(rows.mapInArrow(released(ask), sent).groupBy("level", "shard").applyInPandas(_then_give_back(answer), answered))
     known = answers.where("level = 1 and slice = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n_all, types = int(known[0]), int(known[1])
     sums = {k: np.zeros((2, len(v)), np.int64) for k, v in hot.items()}
@@ -375,7 +375,19 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  a text has one token or more
         return pd.DataFrame({key: head["keys"], "train": head["train"], "n_tokens": sizes, "n_known": add((count[word] > 0).astype(np.int64)), "train_tokens": n_all, "train_types": types, "base_score": add(base[word]), "score": add(np.log10(p)[chain[0]])})
 
-    return answers.where("slice >= 0").groupBy("slice").applyInPandas(add_up, result)
+    return answers.where("slice >= 0").groupBy("slice").applyInPandas(_then_give_back(add_up), result)
+
+
+def _then_give_back(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """`run` for applyInPandas; memory that a group has taken goes back before the next one comes."""
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return run(pdf)
+        finally:
+            give_back()
+
+    return step
 
 
 def _packed(x: np.ndarray) -> bytes:

@@ -7,6 +7,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, lang_id, line_dedup, lm_score, ngram_join, packing, quotation, secret_scan, url_filter, weighted_sampling
-from tessera.llm.common import slices
+from tessera.llm.common import slices, stored
 from tessera.llm.common import words as split_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -52,6 +53,17 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+# Disk
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {p.name for d in folders for p in Path(d).rglob("shuffle_*")}
+    before, ids = held(), spark.range(5_000)
+    out = stored(ids.groupBy((ids.id % 100).alias("k")).count().join(ids.withColumnRenamed("id", "k").repartition(3), "k"))
+    assert not held() - before and out.count() == 100
+
+
 # Clashing columns
 
 @pytest.mark.parametrize(

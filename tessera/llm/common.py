@@ -53,7 +53,8 @@ def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     try:
         for k, v in settings.items():
             conf.set(k, v)
-        df.write.parquet(folder)
+        # Snappy takes direct memory for whole pages, which without a check grow to a hundred rows of any size, and keeps it.
+        df.write.option("compression", "zstd").option("parquet.page.size.row.check.min", "4").parquet(folder)
     finally:
         for k, v in before.items():
             conf.set(k, v)

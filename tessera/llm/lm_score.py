@@ -186,6 +186,8 @@ def _events(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[n
     counts, flat = words(texts)
     codes, distinct = coded(flat)
     named = hashes(distinct)
+    del flat, distinct
+    pa.default_memory_pool().release_unused()
     ends = np.cumsum(counts + 1) - 1
     token = np.empty(int(counts.sum()) + len(counts), np.uint64)
     inner = np.ones(len(token), bool)
@@ -204,8 +206,8 @@ def _distinct(context: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np
     """First places of the distinct pairs, by context, and each pair's number."""
     _, first, back = np.unique(mixed(context) + follower * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
     order = np.lexsort((follower[first], context[first]))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
     return first[order], rank[back]
 
 
@@ -233,6 +235,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     if not total["n"]:
         return spark.createDataFrame([], result)
     shards = max(8, -(-total["b"] // (SLICE * PER_SHARD)))
+    # About a slice's rows at a time, but no more than Spark's own number.
+    at_once = min(10_000, max(1, int(0.95 * SLICE * total["n"] / max(1, total["b"]))))
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,8 +249,9 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
 
     # At most 1 / HOT_SHARE contexts a level can have that share of all n-grams; the commonest are kept.
     hot: dict[int, np.ndarray] = {}
+    often = stored(rows.mapInArrow(released(heavy), "level long, c long, n long"), at_once)
     for k in range(2, order + 1):
-        some = rows.mapInArrow(released(heavy), "level long, c long, n long").where(F.col("level") == k).groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(round(1 / HOT_SHARE)).collect()
+        some = often.where(F.col("level") == k).groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(round(1 / HOT_SHARE)).collect()
         hot[k] = np.sort(np.array([r["c"] for r in some], np.int64).view(np.uint64))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -269,8 +274,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 place = np.where(np.isin(c, hot[level]), mixed(c + f * np.uint64(0x9E3779B97F4A7C15)), place)
             place = (place % np.uint64(shards)).astype(np.int64)
             by = np.argsort(place, kind="stable")
-            back = np.empty(len(by), np.int64)
-            back[by] = np.arange(len(by))
+            back = np.empty(len(by), np.uint32)
+            back[by] = np.arange(len(by), dtype=np.uint32)
             yield level, sizes, c[by], f[by], np.searchsorted(place[by], np.arange(shards + 1)), back[number]
 
     texts = f"keys array<{kind}>, train array<boolean>, lengths array<long>, chain array<binary>"
@@ -280,6 +285,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A slice's n-grams for each shard, and at level 0 what its sums need: each token's longest n-gram, and each n-gram's next shorter one."""
         for name, part in sliced(batches):
+            give_back()
             learned = part.column(1).to_numpy(zero_copy_only=False)
             numbers = []
             for level, sizes, c, f, bounds, number in levels(part):
@@ -292,7 +298,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                         continue
                     heads = np.flatnonzero(np.r_[True, c[a + 1 : b] != c[a : b - 1]])
                     follower = b"" if level == 1 else (f[a:b] >> np.uint64(32)).astype(np.uint32).tobytes()
-                    for column, x in zip(out, (level, shard, name, c[a:b][heads].tobytes(), np.diff(np.r_[heads, b - a]).astype(np.uint16 if b - a < 1 << 16 else np.uint32).tobytes(), follower, count[a:b].astype(np.uint8 if count[a:b].max() < 256 else np.uint32).tobytes())):
+                    for column, x in zip(out, (level, shard, name, c[a:b][heads].tobytes(), _squeezed(np.diff(np.r_[heads, b - a]).astype(np.uint16 if b - a < 1 << 16 else np.uint32)), follower, _squeezed(count[a:b].astype(np.uint8 if count[a:b].max() < 256 else np.uint32)))):
                         column.append(x)
                 none = [pa.nulls(len(out[0]), t) for t in (pa.list_(part.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:3]), *(pa.array(x, pa.binary()) for x in out[3:]), *none], names=names)
@@ -307,10 +313,11 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
 
     def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         heads = np.frombuffer(row.context, np.uint64)
-        sizes = np.frombuffer(row.sizes, np.uint16 if len(row.sizes) == 2 * len(heads) else np.uint32)
+        sizes, count = _loosened(row.sizes), _loosened(row.count)
+        sizes = np.frombuffer(sizes, np.uint16 if len(sizes) == 2 * len(heads) else np.uint32)
         c = np.repeat(heads, sizes)
         f = np.frombuffer(row.follower, np.uint32) if row.level > 1 else np.zeros(len(c), np.uint32)
-        return c, f, np.frombuffer(row.count, np.uint8 if len(row.count) == len(c) else np.uint32).astype(np.int64)
+        return c, f, np.frombuffer(count, np.uint8 if len(count) == len(c) else np.uint32).astype(np.int64)
 
     answered = f"level int, shard long, slice long, first binary, second binary, third binary, tokens long, types long, {texts}"
 
@@ -326,7 +333,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         total = np.r_[trie.total, 0]
         if level == 1:
             out = [(level, shard, -1, b"", b"", b"", int(total.sum()), len(trie.total))]
-            out += [(level, shard, r.slice, total[trie.contexts.find(c)].astype(np.uint32).tobytes(), b"", b"", 0, 0) for r, (c, _, _) in zip(pdf.itertuples(), asked)]
+            out += [(level, shard, r.slice, _squeezed(total[trie.contexts.find(c)].astype(np.uint32)), b"", b"", 0, 0) for r, (c, _, _) in zip(pdf.itertuples(), asked)]
         else:
             spread, counts, warm = np.r_[trie.spread(), 1], np.r_[trie.counts, 0], hot[level]
             names = trie.contexts.get(np.arange(trie.contexts.n))
@@ -338,10 +345,10 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 # Followers of hot contexts are dealt over shards, so for them the count itself goes back.
                 far = np.flatnonzero(np.isin(c, warm))
                 held = np.searchsorted(warm, c[far]).astype(np.uint16).tobytes() + counts[at][far].astype(np.uint32).tobytes() + far.astype(np.uint32).tobytes()
-                out.append((level, shard, r.slice, quantised(counts[at] / scale).tobytes(), quantised(spread[of] / scale).tobytes(), held, 0, 0))
+                out.append((level, shard, r.slice, _squeezed(quantised(counts[at] / scale)), _squeezed(quantised(spread[of] / scale)), held, 0, 0))
         return pd.DataFrame(out, columns=["level", "shard", "slice", "first", "second", "third", "tokens", "types"]).assign(keys=None, train=None, lengths=None, chain=None)
 
-    answers = stored(rows.mapInArrow(released(ask), sent).groupBy("level", "shard").applyInPandas(_then_give_back(answer), answered))
+    answers = stored(rows.mapInArrow(released(ask), sent).groupBy("level", "shard").applyInPandas(_then_give_back(answer), answered), at_once)
     known = answers.where("level = 1 and slice = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n_all, types = int(known[0]), int(known[1])
     sums = {k: np.zeros((2, len(v)), np.int64) for k, v in hot.items()}
@@ -352,16 +359,17 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         pdf = pdf.sort_values(["level", "shard"])
         head, rest = pdf.iloc[0], pdf.iloc[1:]
         sizes, chain = np.array(head["lengths"], np.int64), [_unpacked(x) for x in head["chain"]]
-        count = np.frombuffer(b"".join(rest.loc[rest["level"] == 1, "first"]), np.uint32).astype(np.int64)
+        count = np.frombuffer(b"".join(map(_loosened, rest.loc[rest["level"] == 1, "first"])), np.uint32).astype(np.int64)
         base = np.log10((count + 1) / (n_all + types + 1))
         p = (count + 1) / (n_all + types + 1)
         for k in range(2, order + 1):
             own = rest[rest["level"] == k]
-            share, back = (FACTORS[np.frombuffer(b"".join(own[x]), np.uint8)] for x in ("first", "second"))
+            firsts = [_loosened(x) for x in own["first"]]
+            share, back = (FACTORS[np.frombuffer(b"".join(x), np.uint8)] for x in (firsts, map(_loosened, own["second"])))
             lower = p[chain[order + 1 - k]]
             p = share + back * lower
             start = 0
-            for first, third in zip(own["first"], own["third"]):
+            for first, third in zip(firsts, own["third"]):
                 n = len(third) // 10
                 which, seen, at = np.frombuffer(third, np.uint16, n), np.frombuffer(third, np.uint32, n, 2 * n), np.frombuffer(third, np.uint32, n, 6 * n) + start
                 total, spread = sums[k][:, which]
@@ -390,6 +398,17 @@ def _then_give_back(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd
     return step
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """How many bytes, then the numbers' bytes by place, in less room: neighbours are often equal, and upper places have few values."""
+    raw = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return bytes([x.itemsize]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loosened(raw: bytes) -> bytes:
+    size, n = raw[0], int.from_bytes(raw[1:9], "little")
+    return np.frombuffer(pa.decompress(raw[9:], decompressed_size=n, codec="zstd", asbytes=True), np.uint8).reshape(size, -1).T.tobytes()
+
+
 def _packed(x: np.ndarray) -> bytes:
     """How many numbers, then their bytes by place: the upper ones have few values, so that they take little room."""
     return len(x).to_bytes(8, "little") + pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)

@@ -64,6 +64,14 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert not held() - before and out.count() == 100
 
 
+def test_numbers_come_back_as_they_were():
+    for kind in (np.uint8, np.uint16, np.uint32):
+        for n in (0, 1, 1000):
+            x = np.random.default_rng(n).integers(0, 1 + np.iinfo(kind).max // 2, n).astype(kind)
+            assert lm_score._loosened(lm_score._squeezed(x)) == x.tobytes()
+    assert len(lm_score._squeezed(np.ones(10_000, np.uint32))) < 200
+
+
 # Clashing columns
 
 @pytest.mark.parametrize(
@@ -506,6 +514,13 @@ def test_ngram_join_links_texts_with_passages_added_or_cut(spark, monkeypatch, n
     assert rows(ngram_join.link(spark.createDataFrame(data, SCHEMA), n=n, percent=percent)) == want
 
 
+def test_sets_linked_to_a_pivot_go_where_nothing_seeks_them(spark):
+    """b: nothing is unlinked; c: the unlinked set is too far from all but the last; d: it is in reach."""
+    data = [("x", "b", 100, 0, True, 9), ("y", "b", 100, 0, True, 3), ("p", "c", 100, 0, True, 2), ("q", "c", 100, 0, False, 190), ("r", "c", 100, 0, True, 180), ("s", "d", 100, 0, True, 9), ("t", "d", 100, 0, False, 12)]
+    met = spark.createDataFrame(data, "a string, b string, n long, line long, linked boolean, d long")
+    assert sorted(r["a"] for r in ngram_join._sought(met, 90).collect()) == ["q", "r", "s", "t"]
+
+
 # 10
 
 

@@ -18,13 +18,15 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import coded, kept, mixed, released, slices, words
+from .common import coded, kept, mixed, released, slices, stored, words
 
 WINDOW, END_ID = 4096, 2
 #: Documents dealt together. A group's windows are within a few tokens of each other, so padding is about one window a group.
 GROUP = 4000
 #: Words, and pieces of words, that a worker keeps between slices, until it serves another step; and text bytes of a slice.
 KEPT, STEP_BYTES = 500_000, 8 << 20
+#: Rows that a Python step gets at a time.
+AT_ONCE = 2_000
 #: Characters that the tokenizer is given at a time.
 CHARS = 1 << 14
 
@@ -112,7 +114,10 @@ class Encoder:
         store, start = np.frombuffer(b"".join(raw), np.uint16), np.cumsum(size) - size
         each = size[codes]
         ends = np.cumsum(each)
-        ids = store[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - each - start[codes], each)]
+        # A slice has few enough ids for 32 bits, and no need of as much memory again for each step.
+        at = np.repeat((start[codes] - ends + each).astype(np.int32), each)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = store[at]
         upto = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
         return ids, np.diff(upto)
 
@@ -222,4 +227,5 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         return pdf.assign(sequence_id=(np.int64(pdf["g"].iloc[0]) << 32) + number, offset=offset).drop(columns="g")
 
     base = f"{key} {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
-    return rows.mapInArrow(released(cut, ("encoder", tokenizer)), base + ", g long").groupBy("g").applyInPandas(arrange, base + ", sequence_id long, offset long")
+    pieces = stored(rows.mapInArrow(released(cut, ("encoder", tokenizer)), base + ", g long"), AT_ONCE)
+    return pieces.groupBy("g").applyInPandas(arrange, base + ", sequence_id long, offset long")

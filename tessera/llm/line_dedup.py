@@ -22,10 +22,24 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def plain(line: Column) -> Column:
+    """The line without white space at its ends; null for lines too short to count."""
+    bare = F.trim(line, F.lit(" \t\r"))
+    return F.when(F.char_length(bare) >= MIN_CHARS, bare)
+
+
 def line_hash(line: Column) -> Column:
     """The 128-bit hash of the trimmed line; null for lines too short to count."""
-    plain = F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
-    return F.when(F.char_length(plain) >= MIN_CHARS, F.unhex(F.md5(plain.cast("binary"))))
+    return F.unhex(F.md5(plain(line).cast("binary")))
+
+
+def hashed_lines(docs: DataFrame, text: str, *also: Column) -> DataFrame:
+    """The columns `also` and `_line`, the hash, for each distinct line of each row that counts.
+
+    Lines are made distinct as strings: Spark compares every two binary values of an array.
+    """
+    each = docs.select(*also, F.explode(F.array_distinct(F.transform(lines(F.col(text)), plain))).alias("_plain")).where("_plain is not null")
+    return each.withColumn("_line", F.unhex(F.md5(F.col("_plain").cast("binary")))).drop("_plain")
 
 
 def boilerplate(docs: DataFrame, text: str, site: str, min_sites: int = MIN_SITES) -> DataFrame:
@@ -34,7 +48,7 @@ def boilerplate(docs: DataFrame, text: str, site: str, min_sites: int = MIN_SITE
     Sketches of sites merge line by line, within tasks and then across them. Estimates over the margin decide; lines
     near the threshold are counted again, exactly.
     """
-    each = docs.select(F.explode(F.array_distinct(F.transform(lines(F.col(text)), line_hash))).alias("_line"), F.col(site).cast("string").alias("_site")).where("_line is not null and _site is not null")
+    each = hashed_lines(docs.where(F.col(site).isNotNull()), text, F.col(site).cast("string").alias("_site")).where("_site is not null")
     spread = each.groupBy("_line").agg(F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"), F.count("*").alias("_rows")).where(F.col("_rows") >= min_sites)
     spread = spread.select("_line", F.hll_sketch_estimate("_sketch").alias("_sites")).where(F.col("_sites") >= min_sites * (1 - MARGIN) - 1)
     sure = spread.where(F.col("_sites") > min_sites * (1 + MARGIN) + 1).select("_line")
@@ -57,7 +71,7 @@ def remove(docs: DataFrame, text: str = "text", site: str = "source", min_sites:
     docs = docs.withColumn("_doc", F.xxhash64(text))
     bad = boilerplate(docs, text, site, min_sites)
     # By text, not by row: copies of a text lose the same lines.
-    held = docs.select("_doc", F.explode(F.array_distinct(F.transform(lines(F.col(text)), line_hash))).alias("_line")).where("_line is not null").distinct()
+    held = hashed_lines(docs, text, F.col("_doc")).distinct()
     bad = bad.select(F.xxhash64("_line").alias("_k"), F.col("_line").alias("_bad"))
     hits = held.join(bad, [F.xxhash64("_line") == F.col("_k"), F.col("_line") == F.col("_bad")]).groupBy("_doc").agg(F.collect_set("_line").alias("_gone"))
     hits = hits.select(F.bitwise_not("_doc").alias("_of"), "_gone")

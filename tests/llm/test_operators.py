@@ -231,6 +231,15 @@ def test_line_dedup(spark, none):
     assert line_dedup.remove(none).count() == 0
 
 
+def test_line_dedup_trims_as_the_sql_does(spark):
+    # A pattern's `$` also matches before a line's last U+0085 or U+2028, so white space there went; it isn't at the end.
+    data = [(i, f"this line is shared by many sites{' ' * (i % 2)}{end}\n\t this one too, whatever its ends{' ' * i}\r", "en", f"s{i}", 1) for end in ("\x85", "\u2028") for i in range(8)]
+    got = line_dedup.remove(spark.createDataFrame(data, SCHEMA))
+    assert {r["n_removed"] for r in got.collect()} == {1}
+    # Each line is trimmed several times, so no pattern may do it.
+    assert "regexp_replace" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # 3
 
 

@@ -95,20 +95,29 @@ class Encoder:
         for held in (self.words, self.pieces):
             if len(held) > KEPT:
                 held.clear()
-        named = distinct.to_pylist()
-        missing = [w for w in named if w not in self.words]
-        spelled = {w: p for w in missing if (p := self._pieces(w))}
-        need = list(dict.fromkeys(p for x in spelled.values() for p in x if p not in self.pieces))
-        self._learn(need)
+        # to_pylist() makes a scalar of each value first, which takes several times as long.
+        named = distinct.to_numpy(zero_copy_only=False).tolist()
+        raw = list(map(self.words.get, named))
+        missing = [i for i, x in enumerate(raw) if x is None]
+        # A word of ASCII letters is one piece.
+        spelled = [w.lower() if (w := named[i]).isalpha() and w.isascii() else self._pieces(w) for i in missing]
+        need: dict[str, None] = {}
+        for x in spelled:
+            if type(x) is str:
+                need[x] = None
+            elif x:
+                need.update(dict.fromkeys(x))
+        self._learn([x for x in need if x not in self.pieces])
         get = self.pieces.__getitem__
-        for w in missing:
-            if w in spelled:
-                x = spelled[w]
-                self.words[w] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
+        for i, x in zip(missing, spelled):
+            if type(x) is str:
+                ids = get(x)
+            elif x:
+                ids = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
             else:
-                self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint16).tobytes()
-        raw = list(map(self.words.__getitem__, named))
-        size = np.fromiter((len(x) // 2 for x in raw), np.int64, len(raw))
+                ids = np.array(self.tokenizer.encode(named[i], add_special_tokens=False).ids, np.uint16).tobytes()
+            raw[i] = self.words[named[i]] = ids
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
         store, start = np.frombuffer(b"".join(raw), np.uint16), np.cumsum(size) - size
         each = size[codes]
         ends = np.cumsum(each)

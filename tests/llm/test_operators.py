@@ -309,6 +309,20 @@ def test_decontamination_finds_passages_of_a_window_wherever_they_start(spark):
 # 5
 
 
+def test_packing_makes_no_scalar_of_each_word():
+    class Plain(packing.Encoder):
+        def _pieces(self, word):
+            assert not (word.isascii() and word.isalpha())
+            return super()._pieces(word)
+
+    encoder = Plain(PATH)
+    texts = ["The the THE quick, brown 's fox's 42 <|x Ça va É ß", None, "", "the quick"]
+    for _ in range(2):
+        ids, sizes = encoder.encode(pa.array(texts))
+        want = [encoder.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 

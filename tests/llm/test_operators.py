@@ -544,6 +544,40 @@ def test_sets_linked_to_a_pivot_go_where_nothing_seeks_them(spark):
     assert sorted(r["a"] for r in ngram_join._sought(met, 90).collect()) == ["q", "r", "s", "t"]
 
 
+def test_differences_are_held_by_what_another_set_has_of_them(spark):
+    """Of pivot b, u and v seek and share 3 and 4; w is linked and shares 4 with them; 5 is w's and x's, who don't seek; y has nothing to share."""
+    data = [("u", False, 3, 2, [1, 3, 4]), ("v", False, 3, 2, [2, 3, 4]), ("w", True, 2, 1, [4, 5]), ("x", True, 2, 1, [5, 6]), ("y", False, 2, 1, [7, 8])]
+    schema = "a string, b string, n long, line long, linked boolean, d long, probe long, inner long, apart array<long>"
+    met = spark.createDataFrame([(a, "b", 9, 0, linked, d, probe, 1, apart) for a, linked, d, probe, apart in data], schema)
+    live = {r["c"]: r for r in ngram_join._live(met).collect()}
+    assert sorted(live) == ["u", "v", "w"]
+    token = {e: spark.range(1).select(F.xxhash64(F.lit("b"), F.lit(0).cast("long"), F.lit(e).cast("long"))).head()[0] for e in (3, 4)}
+    assert live["u"]["first"] == live["v"]["first"] == [token[3]] and live["w"]["first"] == live["w"]["second"] == [token[4]]
+    assert [live[c]["i"] for c in "uvw"] == [2, 2, 1] and len(live["u"]["second"]) == 1
+
+
+def test_near_copies_that_are_apart_do_not_multiply(spark, monkeypatch):
+    """60 texts of up to 146 shingles, many of them further from each other than links reach, in buckets that all have pivots."""
+    for name, value in (("PAIRS", 5), ("FEW", 1), ("MEDIUM", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    held = ngram_join.stored
+
+    def counted(df, *at_a_time):
+        out = held(df, *at_a_time)
+        assert out.count() <= 4 * 60 * 146
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    rng, data = random.Random(4), []
+    for i in range(60):
+        text = [f"w{at}" for at in range(150)]
+        for at in rng.sample(range(0, 150, 6), rng.randint(1, 5)):
+            text[at] = f"n{i}m{at}"
+        data.append((i, " ".join(text), "en", "s", 1))
+    got = ngram_join.link(spark.createDataFrame(data, SCHEMA), n=5, percent=80)
+    assert rows(got) == joined(data, 5, 80)
+
+
 # 10
 
 

@@ -556,6 +556,17 @@ def test_differences_are_held_by_what_another_set_has_of_them(spark):
     assert [live[c]["i"] for c in "uvw"] == [2, 2, 1] and len(live["u"]["second"]) == 1
 
 
+def test_of_large_buckets_of_the_same_sets_one_stays(spark, monkeypatch):
+    """1 and 2 have the same sets, 3 fewer, 4 and 5 are small; where index parts count, 2's differ from 1's."""
+    monkeypatch.setattr(ngram_join, "PAIRS", 4)
+    monkeypatch.setattr(ngram_join, "FEW", 1)
+    data = [(c, t, not (t == 2 and c == "z")) for t, cs in ((1, "xyz"), (2, "xyz"), (3, "wxz"), (4, "xy"), (5, "xy")) for c in cs]
+    tokens = spark.createDataFrame([(*r, True) for r in data], "c string, t long, index boolean, seeks boolean")
+    left = lambda *also: Counter(r["t"] for r in ngram_join._buckets(tokens, *also).collect())
+    assert left() == {1: 3, 3: 3, 4: 2, 5: 2}
+    assert left("index") == {1: 3, 2: 3, 3: 3, 4: 2, 5: 2}
+
+
 def test_near_copies_that_are_apart_do_not_multiply(spark, monkeypatch):
     """60 texts of up to 146 shingles, many of them further from each other than links reach, in buckets that all have pivots."""
     for name, value in (("PAIRS", 5), ("FEW", 1), ("MEDIUM", 3)):

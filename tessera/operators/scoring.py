@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,10 +69,11 @@ def phrase_freq(column: str, terms: Sequence[tuple[str, int]]) -> Column:
     if len(terms) == 1:
         return tf(column, first)
 
-    def starts(term: str, ahead: int) -> Column:
-        return F.transform(_of(column, term), lambda x: x.p - F.lit(ahead))
+    return F.size(reduce(F.array_intersect, [_starts(column, t, q - at) for t, q in terms]))
 
-    return F.size(reduce(F.array_intersect, [starts(t, q - at) for t, q in terms]))
+
+def _starts(column: str, term: str, ahead: int) -> Column:
+    return F.transform(_of(column, term), lambda x: x.p - F.lit(ahead))
 
 
 def _of(column: str, term: str) -> Column:
@@ -80,28 +81,30 @@ def _of(column: str, term: str) -> Column:
 
 
 def sloppy_freq(column: str, terms: Sequence[tuple[str, int]], slop: int) -> Column:
-    """Sum of 1 / (1 + spread) over matches: from each adjusted place on, the least spread that has every term."""
-    wanted = [(t, q) for t, q in terms]
-
-    @F.pandas_udf("double")
-    def run(tokens: pd.Series) -> pd.Series:
-        def one(found) -> float | None:
-            if found is None:
-                return None
-            places = [sorted(x["p"] - q for x in found if x["t"] == t) for t, q in wanted]
-            if not all(places):
-                return 0.0
-            at, total = [0] * len(places), 0.0
-            while True:
-                now = [p[i] for p, i in zip(places, at)]
-                spread = max(now) - min(now)
-                if spread <= slop and len({v + q for v, (_, q) in zip(now, wanted)}) == len(now):
-                    total += 1 / (1 + spread)
-                i = now.index(min(now))
-                at[i] += 1
-                if at[i] == len(places[i]):
-                    return total
-
-        return tokens.map(one)
-
-    return run(F.col(column))
+    """Sum of 1 / (1 + spread) over matches: from each adjusted place on, the least spread that has every term.
+
+    Python gets the places of the terms only, not the texts' tokens.
+    """
+    offsets = [q for _, q in terms]
+
+    def one(places: list[list[int]]) -> float:
+        if not all(places):
+            return 0.0
+        places = [sorted(p) for p in places]
+        at, total = [0] * len(places), 0.0
+        while True:
+            now = [p[i] for p, i in zip(places, at)]
+            spread = max(now) - min(now)
+            if spread <= slop and len({v + q for v, q in zip(now, offsets)}) == len(now):
+                total += 1 / (1 + spread)
+            i = now.index(min(now))
+            at[i] += 1
+            if at[i] == len(places[i]):
+                return total
+
+    @F.arrow_udf("double")
+    def run(found: pa.Array) -> pa.Array:
+        return pa.array((None if not x.is_valid else one(x.as_py()) for x in found), pa.float64())
+
+    places = F.array(*(_starts(column, t, q) for t, q in terms))
+    return run(F.when(F.col(column).isNotNull(), places))

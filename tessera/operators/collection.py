@@ -14,7 +14,7 @@ from ..functions import analysis
 from ..functions.values import Names, now_ms
 from ..plans.errors import RequestError, Warn
 from ..plans.schema import Field, Schema
-from .scoring import Stats
+from .scoring import Rehearsal, Stats
 
 ORDER = "_docid_"
 
@@ -102,7 +102,8 @@ class Scope:
         held = self.options.setdefault("stats", {})
         at = (self.view.path, column)
         if at not in held:
-            held[at] = Stats(self.view.analyse(self.view.base, [column]))
+            made = Rehearsal if self.options.get("rehearsal") else Stats
+            held[at] = made(self.view.analyse(self.view.base, [column]))
         return held[at]
 
     def at(self, path: str) -> Scope:

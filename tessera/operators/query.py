@@ -87,6 +87,20 @@ def compile(scope: Scope, q: Query) -> Compiled:
     return made(scope, spec)
 
 
+def foresee(scope: Scope, queries: Sequence[Query]) -> None:
+    """Learn the terms of all `queries` in one pass for each field, not one for each clause. A rehearsal tells them; what it can't, clauses learn themselves."""
+    scope.options.setdefault("stats", {})
+    told: dict[tuple[str, str], Any] = {}
+    for q in queries:
+        try:
+            compile(Scope(scope.view, {**scope.options, "joins": {}, "warnings": [], "stats": told, "rehearsal": True}), q)
+        except Exception:  # noqa: BLE001, the request itself says what is wrong with it
+            continue
+    for (path, column), asked in told.items():
+        own = scope if path == scope.view.path else scope.at(path)
+        own.stats_for(column).learn(column, [t for c, t in asked.terms if c == column])
+
+
 def _field(scope: Scope, spec: Mapping, use: str) -> Field:
     if "field" not in spec:
         raise RequestError("missing_key", "a field is missing")
@@ -472,6 +486,8 @@ def _to_parent(scope: Scope, spec: Mapping) -> Compiled:
 def _knn(scope: Scope, spec: Mapping) -> Compiled:
     """The k rows nearest, within the filters of its own and the list's; found first, joined back by key."""
     only(spec, "field query k similarity filter unit nprobe ivf refine_candidates", "knn")
+    if scope.options.get("rehearsal"):
+        raise scoring.Unforeseen
     field = _field(scope, spec, "primary")
     domain = scope.view.analyse(scope.view.base)
     for f in [*(spec.get("filter") or []), *scope.options.get("domain", [])]:

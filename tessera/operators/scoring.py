@@ -52,6 +52,22 @@ class Stats:
         return math.log1p((n - df + 0.5) / (df + 0.5))
 
 
+class Unforeseen(Exception):
+    """What a rehearsal can't go on with."""
+
+
+class Rehearsal(Stats):
+    """Takes down what is asked of a column's Stats, and reads nothing."""
+
+    def learn(self, column: str, terms: Iterable[str]) -> None:
+        for t in terms:
+            self.terms[column, t] = 0
+        self.fields[column] = (0, 0.0)
+
+    def vocabulary(self, column: str) -> DataFrame:
+        raise Unforeseen
+
+
 def saturated(tf: Column, length: Column, average: float, weight: Column | float, norms: bool = True, exact: bool = False) -> Column:
     """w - w / (1 + tf * inv): nothing of a term not there, w for endlessly many."""
     scale = (1 - B) + B * (length if exact else norm(length)).cast("double") / (average or 1.0) if norms else F.lit(1.0)

@@ -142,6 +142,7 @@ class List:
             own = collapse if isinstance(collapse, (str, list)) else collapse["field"]
             options["collapse"] = own if isinstance(own, list) else [own]
         self.scope = Scope(scope.view, options)
+        queries.foresee(self.scope, [spec.get("query", {"all": True}), *options["domain"]])
         self.query = queries.compile(self.scope, spec.get("query", {"all": True}))
         self.filters: list[tuple[Column, frozenset, str]] = []
         for f in filters:
